@@ -1,8 +1,8 @@
 """Every query of the core by name, with its SQL where there is one."""
 
-from pluvion.operators import rolling, storms
+from pluvion.operators import faults, rolling, storms, units
 
-_MODULES = [storms, rolling]
+_MODULES = [storms, rolling, units, faults]
 
 
 def queries() -> dict:

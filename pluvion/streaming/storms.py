@@ -77,7 +77,7 @@ def stitched(pieces: DataFrame, keys: list[str], gap: int) -> DataFrame:
 
 
 def replay_sessions(
-    spark: SparkSession, path: str, schema: T.StructType, active, keys: list[str], hour: str, gap: int = 24, block_hours: int = 2048
+    spark: SparkSession, path: str, schema: T.StructType, active, keys: list[str], hour: str, gap: int = 24, block_hours: int = 16384
 ) -> DataFrame:
     """Sessions of a Parquet table, replayed as a stream: keys, from_i, to_i, n_active.
 
@@ -90,7 +90,8 @@ def replay_sessions(
     for k in keys:
         event = event & F.col(k).isNotNull()
     block = F.floor(F.col(hour) / F.lit(block_hours)).cast("int").alias("_block")
-    stamp = F.timestamp_seconds(F.col(hour).cast("long") * one_hour).alias("event_ts")
+    # the end of the hour: the first watermark is 1970-01-01 and hour 0 must not be late for it
+    stamp = F.timestamp_seconds((F.col(hour).cast("long") + 1) * one_hour).alias("event_ts")
     # as a pattern, the path may be a single file as well as a folder
     source = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]").where(event).select(*keys, block, F.col(hour).cast("int").alias("_hour"), stamp)
     end = shared_path(spark, "end-of-input")
