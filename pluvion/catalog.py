@@ -1,8 +1,9 @@
 """Every query of the core by name, with its SQL where there is one."""
 
 from pluvion.operators import faults, rolling, storms, units
+from pluvion.plans import reference
 
-_MODULES = [storms, rolling, units, faults]
+_MODULES = [storms, rolling, units, faults, reference]
 
 
 def queries() -> dict:

@@ -89,9 +89,9 @@ def event_rolling(pr: DataFrame, events: DataFrame, temps: DataFrame, windows: t
     return rows.drop("n_events", "t_sum", "t_n")
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """Doubles at six digits, so that sums taken in another order compare equal."""
-    return df.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in df.dtypes])
+def rounded(df: DataFrame, digits: int = 6, **other: int) -> DataFrame:
+    """Doubles at six digits (or others, by column), so that sums taken in another order compare equal."""
+    return df.select(*[F.round(c, other.get(c, digits)).alias(c) if t == "double" else c for c, t in df.dtypes])
 
 
 def p4_rolling_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
