@@ -21,7 +21,7 @@ from pluvion.sources.tables import table, valid
 POSSIBLE = {"pr_hourly": (0.0, 1000.0), "tas_steps": (150.0, 350.0), "ordinary_event": (0.0, 1000.0)}
 #: Threshold and the two quantiles above it to which the tail is fitted.
 LEVELS = {"pr_hourly": (0.99, 0.995, 0.999), "tas_steps": (0.9, 0.97, 0.995), "ordinary_event": (0.9, 0.97, 0.995)}
-RISK, ACCURACY = 1e-5, 20_000
+RISK, ACCURACY = 1e-5, 10_000
 STRETCH_SHARE, STRETCH_OVER = 1 / 500, 2
 SERIES = ["run_id", "cell_id", "duration_h"]
 FOUND = ["tbl", "run_id", "cell_id", "duration_h", "t_i"]
@@ -85,7 +85,7 @@ def seasonal(df: DataFrame, tbl: str) -> DataFrame:
         return df
     wet = F.when(F.col("ok") & (F.col("v") > 0), F.col("v"))
     level = df.groupBy(F.col("model").alias("_m"), F.col("duration_h").alias("_d"), F.col("month").alias("_month")).agg(F.percentile_approx(wet, 0.5, 1000).alias("_level"))
-    level = written(level.coalesce(1), "seasonal-level")
+    level = written(level, "seasonal-level")
     on = F.col("model").eqNullSafe(F.col("_m")) & (F.col("duration_h") == F.col("_d")) & F.col("month").eqNullSafe(F.col("_month"))
     return df.join(level, on, "left").withColumn("r", wet - F.col("_level")).drop("_m", "_d", "_month", "_level")
 
@@ -113,7 +113,7 @@ def faulty(spark: SparkSession, sf_dir: str, tbl: str) -> DataFrame:
     Where a source has too few distinct values for a tail, only the other two rules apply. An empty table gives no rows.
     """
     df = seasonal(written(judged(readings(spark, sf_dir, tbl), tbl), f"judged-{tbl}"), tbl)
-    cut = written(cutoffs(df, tbl).coalesce(1), f"cutoffs-{tbl}")
+    cut = written(cutoffs(df, tbl), f"cutoffs-{tbl}")
     on = F.col("model").eqNullSafe(F.col("_m")) & (F.col("duration_h") == F.col("_d"))
     zero = (F.col("v") == 0) & F.lit(tbl != "tas_steps")
     verdicts = (
