@@ -75,6 +75,17 @@ def with_model(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.join(runs, F.col("run_id") == F.col("_run")).drop("_run")
 
 
+def p1_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records that the cutoffs keep, each with its cutoff and whether it ties with it. Every row of the table counts, repeated ones too."""
+    keys = ["model", "duration_h"]
+    events = with_model(table(spark, sf_dir, "ordinary_event").select("run_id", "cell_id", "duration_h", "oe_i", "oe"), spark, sf_dir)
+    cut = kept_cutoffs(events, table(spark, sf_dir, "keep_target").select(*keys, "keep_fraction"), keys, "oe", "keep_fraction")
+    # written, so that the planner knows the size of the cutoffs
+    cut = written(cut.where(F.col("cutoff").isNotNull()).select(*keys, "cutoff"), "cutoffs-of-sources")
+    kept = events.where(valid("oe")).join(cut, keys).where(F.col("oe") >= F.col("cutoff"))
+    return kept.select("run_id", "cell_id", *keys, "oe_i", "oe", "cutoff", (F.col("oe") == F.col("cutoff")).alias("is_tie"))
+
+
 def p1_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cutoffs and kept sizes of every model and duration, beside the class counts of ``tail_metric`` and the event numbers of ``tail_mean``."""
     keys = ["model", "duration_h"]
@@ -106,4 +117,10 @@ SQL = {
       from k left join t using (model, duration_h) left join m using (model, duration_h)""",
 }
 SQL["p1_cutoffs"] = SQL["p1_cutoffs"].replace("select model, duration_h, keep_fraction, n_rows, oe as cutoff from n", "select n.model, n.duration_h, keep_fraction, n_rows, oe as cutoff from n")
-QUERIES = {"p1_cutoffs": p1_cutoffs}
+SQL["p1_kept"] = """with r as (select * from ordinary_event join sim_run using (run_id) where oe is not null and not isnan(oe)),
+  n as (select model, duration_h, max(greatest(1, cast(ceil(keep_fraction * c) as bigint))) as k
+        from keep_target join (select model, duration_h, count(*) as c from r group by all) using (model, duration_h) group by all),
+  o as (select model, duration_h, oe, row_number() over (partition by model, duration_h order by oe desc) as i from r),
+  c as (select n.model, n.duration_h, oe as cutoff from n join o on n.model = o.model and n.duration_h = o.duration_h and i = k)
+  select run_id, cell_id, r.model, r.duration_h, oe_i, oe, cutoff, oe = cutoff as is_tie from r join c on r.model = c.model and r.duration_h = c.duration_h where oe >= cutoff"""
+QUERIES = {"p1_kept": p1_kept, "p1_cutoffs": p1_cutoffs}
