@@ -18,7 +18,7 @@ def views():
 
 def canonical(df: pd.DataFrame) -> list[tuple]:
     def one(v):
-        if v is None or v is pd.NaT or v != v:
+        if v is None or v is pd.NaT or v is pd.NA or v != v:
             return None
         return round(float(v), 6) + 0.0 if isinstance(v, (int, float)) or hasattr(v, "__float__") else str(v)
 
