@@ -38,35 +38,34 @@ def kept_cutoffs(rows: DataFrame, targets: DataFrame, keys: list[str], value: st
     asked = targets.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(share).alias("_share"))
     on = [F.col(k) == F.col(f"_{k}") for k in keys]
     rows = rows.select(*keys, F.col(value).cast("float").alias("_v")).where(valid("_v"))
-    sketch = written(
-        sketches(rows, keys, "_v").join(asked, on).select(*keys, "sketch", "n_rows", F.greatest(F.lit(1), F.ceil(F.col("_share") * F.col("n_rows"))).alias("k")), "sketches"
-    )
-    at = 1 - F.col("k") / F.col("n_rows")
-    grid = F.kll_sketch_get_quantile_float("sketch", F.array(*[F.lit(i / GRID) for i in range(GRID + 1)]))
-    sketch = written(sketch.select(*keys, "n_rows", "k", grid.alias("grid")), "grids")
+    sketch = sketches(rows, keys, "_v").withColumnsRenamed({"sketch": "_sketch", "n_rows": "_rows"}).join(asked, on)
+    rank = F.greatest(F.lit(1), F.ceil(F.col("_share") * F.col("_rows")))
+    grid = F.kll_sketch_get_quantile_float("_sketch", F.array(*[F.lit(i / GRID) for i in range(GRID + 1)]))
+    sketch = written(sketch.select(*[F.col(k).alias(f"_{k}") for k in keys], "_rows", rank.alias("_rank"), grid.alias("_grid")), "sketches")
+    at = 1 - F.col("_rank") / F.col("_rows")
     width = 4 * RANK_ERROR
     while True:
         # beyond the ends the bracket is open
         below, above = F.floor((at - width) * GRID).cast("int"), F.ceil((at + width) * GRID).cast("int")
-        lo = F.when(below > 0, F.get("grid", below)).otherwise(F.lit(float("-inf")).cast("float"))
-        hi = F.when(above < GRID, F.get("grid", above)).otherwise(F.lit(float("inf")).cast("float"))
-        bracket = written(sketch.select(*[F.col(k).alias(f"_{k}") for k in keys], "n_rows", "k", lo.alias("lo"), hi.alias("hi")), "bracket")
-        place = F.when(F.col("_v") > F.col("hi"), 1).when(F.col("_v") >= F.col("lo"), 0).otherwise(-1)
+        lo = F.when(below > 0, F.get("_grid", below)).otherwise(F.lit(float("-inf")).cast("float"))
+        hi = F.when(above < GRID, F.get("_grid", above)).otherwise(F.lit(float("inf")).cast("float"))
+        bracket = written(sketch.withColumn("_lo", lo).withColumn("_hi", hi).drop("_grid"), "brackets")
+        place = F.when(F.col("_v") > F.col("_hi"), 1).when(F.col("_v") >= F.col("_lo"), 0).otherwise(-1)
         bins = (
-            rows.join(bracket, on).withColumn("place", place)
-            .groupBy(*keys, "place", F.when(F.col("place") == 0, F.col("_v")).alias("v"))
-            .agg(F.count("*").alias("n"), F.first("n_rows").alias("n_rows"), F.first("k").alias("k"))
+            rows.join(bracket, on).withColumn("_place", place)
+            .groupBy(*[f"_{k}" for k in keys], "_place", F.when(F.col("_place") == 0, F.col("_v")).alias("_cut"))
+            .agg(F.count("*").alias("_n"), F.first("_rows").alias("_rows"), F.first("_rank").alias("_rank"))
         )
         # distinct values of a bracket: a narrow range of FLOAT, however many rows
-        down = W.partitionBy(*keys).orderBy(F.desc("place"), F.desc("v")).rowsBetween(W.unboundedPreceding, 0)
-        reached = bins.withColumn("n_kept", F.sum("n").over(down)).where((F.col("n_kept") >= F.col("k")) & (F.col("n_kept") - F.col("n") < F.col("k")))
-        cut = written(reached.select(*[F.col(k).alias(f"_{k}") for k in keys], "place", F.col("v").alias("cutoff"), "n_rows", "n_kept", F.col("n").alias("n_ties")), "cutoffs")
-        if width >= 1 or not cut.where("place <> 0").limit(1).count():
+        down = W.partitionBy(*[f"_{k}" for k in keys]).orderBy(F.desc("_place"), F.desc("_cut")).rowsBetween(W.unboundedPreceding, 0)
+        reached = bins.withColumn("_kept", F.sum("_n").over(down)).where((F.col("_kept") >= F.col("_rank")) & (F.col("_kept") - F.col("_n") < F.col("_rank")))
+        cut = written(reached.drop("_rank"), "cutoffs")
+        if width >= 1 or not cut.where("_place <> 0").limit(1).count():
             break
         width *= 8
     return targets.join(cut, on, "left").select(
-        *keys, share, F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "cutoff", F.coalesce("n_kept", F.lit(0)).alias("n_kept"),
-        F.coalesce("n_ties", F.lit(0)).alias("n_ties"), (F.col("n_kept") / F.col("n_rows")).alias("kept_share"),
+        *keys, share, F.coalesce("_rows", F.lit(0)).alias("n_rows"), F.col("_cut").alias("cutoff"), F.coalesce("_kept", F.lit(0)).alias("n_kept"),
+        F.coalesce("_n", F.lit(0)).alias("n_ties"), (F.col("_kept") / F.col("_rows")).alias("kept_share"),
     )
 
 
