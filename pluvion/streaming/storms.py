@@ -34,26 +34,29 @@ def session_pieces(events: DataFrame, keys: list[str], hour: str, gap: int, dela
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            done = [tuple(state.get)]
+            f, t, n = ([x] for x in state.get)
             state.remove()
         else:
             # distinct hours of each arrow batch first, so that repeated rows never pile up
-            hours = np.unique(np.concatenate([np.unique(b[hour].to_numpy()) for b in batches]))
-            starts = np.concatenate(([0], np.flatnonzero(np.diff(hours) > gap) + 1))
-            ends = np.concatenate((starts[1:], [len(hours)])) - 1
-            pieces = [(int(hours[a]), int(hours[b]), int(b - a + 1)) for a, b in zip(starts, ends)]
+            hours = [np.unique(b[hour].to_numpy()) for b in batches]
+            hours = hours[0] if len(hours) == 1 else np.unique(np.concatenate(hours))
+            cut = np.flatnonzero(np.diff(hours) > gap)
+            f, t = hours[np.concatenate(([0], cut + 1))], hours[np.concatenate((cut, [len(hours) - 1]))]
+            n = np.diff(np.concatenate(([-1], cut, [len(hours) - 1])))
             if state.exists:
-                f, t, n = state.get
-                if pieces[0][0] - t <= gap and f - pieces[0][1] <= gap:
-                    a, b, m = pieces[0]
-                    pieces[0] = (min(f, a), max(t, b), n + m)
+                f0, t0, n0 = state.get
+                if f[0] - t0 <= gap and f0 - t[0] <= gap:
+                    f[0], t[0], n[0] = min(f0, f[0]), max(t0, t[0]), n0 + n[0]
                 else:
-                    pieces = sorted([(f, t, n), *pieces])
-            *done, last = pieces
-            state.update(last)
-            state.setTimeoutTimestamp(max((last[1] + gap + 1) * 3_600_000, state.getCurrentWatermarkMs() + 1))
-        if done:
-            yield pd.DataFrame([(*key, *d) for d in done], columns=columns)
+                    f, t, n = np.append(f, f0), np.append(t, t0), np.append(n, n0)
+                    order = np.argsort(f, kind="stable")
+                    f, t, n = f[order], t[order], n[order]
+            state.update((int(f[-1]), int(t[-1]), int(n[-1])))
+            state.setTimeoutTimestamp(max((int(t[-1]) + gap + 1) * 3_600_000, state.getCurrentWatermarkMs() + 1))
+            f, t, n = f[:-1], t[:-1], n[:-1]
+        if len(f):
+            names = dict(zip(keys, key))
+            yield pd.DataFrame({**{k: np.full(len(f), v) for k, v in names.items()}, "from_i": f, "to_i": t, "n_active": n}, columns=columns)
 
     return (
         events.withWatermark("event_ts", delay)
