@@ -1,9 +1,10 @@
 """Sessions of activity by keyed streaming timers.
 
-Every key has at most one open session in its state: first hour, last hour, number of active hours. The hours of a key arrive in order
-within a micro-batch; an hour within the gap extends the open session and moves its timer, a later one closes it. A session that no
-later hour closes is emitted when its timer expires. ``stitched`` then joins the pieces of a series that was split into blocks (or that
-arrived in more than one micro-batch), so a series of any length is spread over many state keys.
+Every series has at most one open session in the state: first hour, last hour, number of active hours. The hours arrive in order within a
+micro-batch; an hour within the gap extends the open session and moves its end, a later one closes it. A session that no later hour closes is
+emitted when its timer expires. Series share state keys, a fixed number to each shuffle partition, so that the cost of a key is paid once for many
+series; a key's timer stands at the first end among its open sessions. ``stitched`` then joins the pieces of a series that was split into blocks (or
+that arrived in more than one micro-batch), so a series of any length is spread over many state keys.
 """
 
 from collections.abc import Iterator
@@ -22,45 +23,62 @@ from pluvion.scratch import shared_path
 END_OF_INPUT = "2262-01-01 00:00:00"
 
 
-def session_pieces(events: DataFrame, keys: list[str], hour: str, gap: int, delay: str = "0 seconds") -> DataFrame:
+def closed_runs(rows: pd.DataFrame, keys: list[str], gap: int) -> pd.DataFrame:
+    """Joins sessions (keys, from_i, to_i, n_active) of one series that lie no more than ``gap`` hours apart; adds ``last``: the latest of its series."""
+    rows = rows.sort_values([*keys, "from_i", "to_i"], kind="stable", ignore_index=True)
+    other = np.ones(len(rows), dtype=bool)
+    other[1:] = (rows[keys].to_numpy()[1:] != rows[keys].to_numpy()[:-1]).any(axis=1)
+    reach = rows.groupby(np.cumsum(other))["to_i"].cummax().to_numpy()
+    fresh = other.copy()
+    fresh[1:] |= rows["from_i"].to_numpy()[1:] - reach[:-1] > gap
+    at = np.flatnonzero(fresh)
+    end = np.append(at[1:], len(rows)) - 1
+    out = rows.iloc[at].reset_index(drop=True)
+    out["to_i"], out["n_active"] = reach[end], np.add.reduceat(rows["n_active"].to_numpy(), at)
+    out["last"] = np.append(other[at][1:], True)
+    return out
+
+
+def session_pieces(events: DataFrame, keys: list[str], hour: str, gap: int, delay: str = "0 seconds", state_keys: int = 4096) -> DataFrame:
     """One row per session piece of a streaming ``events`` (columns: keys, ``hour``, ``event_ts``): from_i, to_i, n_active.
 
     Two hours belong together unless they lie more than ``gap`` hours apart. Repeated hours count once within a micro-batch.
     """
     types = {f.name: f.dataType for f in events.schema.fields}
-    out = T.StructType([T.StructField(k, types[k]) for k in keys] + [T.StructField(n, T.IntegerType()) for n in ("from_i", "to_i", "n_active")])
-    held = T.StructType([T.StructField(n, T.IntegerType()) for n in ("from_i", "to_i", "n_active")])
-    columns = [f.name for f in out.fields]
+    columns = [*keys, "from_i", "to_i", "n_active"]
+    out = T.StructType([T.StructField(k, types[k]) for k in keys] + [T.StructField(n, T.IntegerType()) for n in columns[len(keys) :]])
+    held = T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in out.fields])
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if key[0] < 0:
+            return
+        before = [pd.DataFrame(dict(zip(columns, state.get)))] if state.exists else []
         if state.hasTimedOut:
-            f, t, n = ([x] for x in state.get)
-            state.remove()
+            runs = before[0]
+            done = (runs["to_i"] + gap + 1) * 3_600_000 <= state.getCurrentWatermarkMs()
         else:
             # distinct hours of each arrow batch first, so that repeated rows never pile up
-            hours = [np.unique(b[hour].to_numpy()) for b in batches]
-            hours = hours[0] if len(hours) == 1 else np.unique(np.concatenate(hours))
-            cut = np.flatnonzero(np.diff(hours) > gap)
-            f, t = hours[np.concatenate(([0], cut + 1))], hours[np.concatenate((cut, [len(hours) - 1]))]
-            n = np.diff(np.concatenate(([-1], cut, [len(hours) - 1])))
-            if state.exists:
-                f0, t0, n0 = state.get
-                if f[0] - t0 <= gap and f0 - t[0] <= gap:
-                    f[0], t[0], n[0] = min(f0, f[0]), max(t0, t[0]), n0 + n[0]
-                else:
-                    f, t, n = np.append(f, f0), np.append(t, t0), np.append(n, n0)
-                    order = np.argsort(f, kind="stable")
-                    f, t, n = f[order], t[order], n[order]
-            state.update((int(f[-1]), int(t[-1]), int(n[-1])))
-            state.setTimeoutTimestamp(max((int(t[-1]) + gap + 1) * 3_600_000, state.getCurrentWatermarkMs() + 1))
-            f, t, n = f[:-1], t[:-1], n[:-1]
-        if len(f):
-            names = dict(zip(keys, key))
-            yield pd.DataFrame({**{k: np.full(len(f), v) for k, v in names.items()}, "from_i": f, "to_i": t, "n_active": n}, columns=columns)
+            hours = pd.concat([b[[*keys, hour]].drop_duplicates() for b in batches]).drop_duplicates()
+            new = hours.rename(columns={hour: "from_i"}).assign(to_i=hours[hour], n_active=1)
+            runs = closed_runs(new, keys, gap)
+            if before:
+                runs = closed_runs(pd.concat([*before, runs[columns]]), keys, gap)
+            done = ~runs["last"]
+        open_ = runs.loc[~done, columns]
+        if len(open_):
+            state.update(tuple(open_[c].tolist() for c in columns))
+            state.setTimeoutTimestamp(max((int(open_["to_i"].min()) + gap + 1) * 3_600_000, state.getCurrentWatermarkMs() + 1))
+        else:
+            state.remove()
+        if done.any():
+            yield runs.loc[done, columns]
 
+    # the marker of the end only moves the watermark; it has a key of its own
+    shared = F.when(F.col(keys[0]).isNotNull(), F.pmod(F.xxhash64(*keys), F.lit(state_keys))).otherwise(-1).cast("int").alias("_shared")
     return (
         events.withWatermark("event_ts", delay)
-        .groupBy(*keys)
+        .select(shared, *keys, hour, "event_ts")
+        .groupBy("_shared")
         .applyInPandasWithState(update, out, held, "append", GroupStateTimeout.EventTimeTimeout)
     )
 
@@ -100,12 +118,13 @@ def replay_sessions(
     end = shared_path(spark, "end-of-input")
     marker = spark.range(1).select(
         *[F.lit(None).cast(source.schema[k].dataType).alias(k) for k in keys],
-        F.lit(None).cast("int").alias("_block"), F.lit(0).alias("_hour"), F.lit(END_OF_INPUT).cast("timestamp").alias("event_ts"),
+        F.lit(-1).alias("_block"), F.lit(0).alias("_hour"), F.lit(END_OF_INPUT).cast("timestamp").alias("event_ts"),
     )
     marker.coalesce(1).write.parquet(end)
     events = source.unionByName(spark.readStream.schema(marker.schema).parquet(end))
-    pieces = session_pieces(events, [*keys, "_block"], "_hour", gap)
+    per_partition = 64
+    pieces = session_pieces(events, [*keys, "_block"], "_hour", gap, state_keys=per_partition * int(spark.conf.get("spark.sql.shuffle.partitions")))
     out, log = shared_path(spark, "sessions"), shared_path(spark, "sessions-log")
-    run = pieces.where(F.col("_block").isNotNull()).writeStream.format("parquet").option("checkpointLocation", log).trigger(availableNow=True).start(out)
+    run = pieces.writeStream.format("parquet").option("checkpointLocation", log).trigger(availableNow=True).start(out)
     run.awaitTermination()
     return stitched(spark.read.schema(pieces.schema).parquet(out), keys, gap)
