@@ -66,6 +66,8 @@ Page introuvable. Revenez à l'accueil.
 Le serveur n'a pas répondu à temps. Délai d'attente dépassé.
 Página no encontrada. Vuelva al inicio.
 Se agotó el tiempo de espera del servidor.
+Der Dienst ist vorübergehend nicht erreichbar.
+Le service est indisponible pour le moment.
 Страница не найдена. Проверьте адрес. Вернитесь на главную.
 Сервер не ответил вовремя.
 """.strip().split("\n")
@@ -112,7 +114,16 @@ Paragraph one.
 Paragraph two.
 Sample text. Placeholder text. Insert text here.
 asdf qwe zxc rty fghj jkl vbnm qwerty asdfgh
+This is only sample wording to fill the space.
+Your text here
+Some text to be written
+Content to follow
+Hier steht bald ein Text
+Texte à venir
+Texto de relleno
 """.strip().split("\n")
+#: Words that are filler where one of them stands alone, over and over.
+REPEATED = ["aaa bar baz bla blah foo qwer test xxx zzz"]
 #: The syllables of pseudo-Latin. Its exemplar is the rule that a word is made of them.
 SYLLABLES = "lorem ipsum dolor sit amet consectetur cons adip elit sed tempor temp inc incididunt ut labore lab et dol dolore mag magna aliqua ali enim ven veniam quis qua nost nostrud ull ullamco lor ect ectetur iscing a or um is es us e i o".split()
 #: Forms with fields to be filled in, and sentences about fields or pages.
@@ -145,8 +156,12 @@ FIELD = re.compile(
 #: Containment of a passage, and share of a part's weight that such passages must cover.
 CONTAINMENT, COVERAGE = 0.8, 0.85
 
+#: Words of six letters or more made of syllables alone that make a part pseudo-Latin; times that a filler word alone must stand.
+LATIN_WORDS, REPEATS = 3, 3
+
 _FEATURE = re.compile(r"\w+")
 _TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,80}>")
+_PICKED = re.compile(r"(?m)^\s*\(cherry picked from commit [0-9a-f]+\)\s*$")
 _MOJIBAKE = re.compile("[ÃÂÐÑ]")
 _LATIN = re.compile("(?:" + "|".join(sorted(SYLLABLES, key=len, reverse=True)) + ")+")
 
@@ -159,7 +174,7 @@ def features(passage: str) -> list[str]:
 
 def exemplars() -> list[tuple[str, frozenset[str]]]:
     """Label and words of every exemplar."""
-    kinds = (("residue", PAGES + NOTICES + FILLER), ("form", FORMS), ("mention", MENTIONS))
+    kinds = (("residue", PAGES + NOTICES + FILLER), ("form", FORMS), ("mention", MENTIONS), ("repeat", REPEATED))
     return [(label, frozenset(features(t))) for label, texts in kinds for t in texts]
 
 
@@ -242,16 +257,19 @@ class Index:
         return max(score.values()) / total if score else 0.0
 
     def is_residue(self, part: str) -> bool:
-        """Whether passages contained in residue exemplars cover nearly all of the part."""
+        """Whether passages contained in residue exemplars cover nearly all of the part, or one filler word is all there is."""
         fs = features(_TAG.sub(" ", part))
-        if not fs:
+        # numbers alone are a version or a ticket
+        if not set(fs) - {"9"}:
             return False
+        if len(fs) >= REPEATS and len(set(fs)) == 1 and self.containment(fs[:1], ("repeat",)) >= CONTAINMENT:
+            return True
         # no coverage is possible without known words or syllables
         known = sum(w in self.postings or _LATIN.fullmatch(w) is not None for w in fs)
         if known < 0.6 * len(fs):
             return False
         covered = total = 0.0
-        latin = "lorem" in fs or "ipsum" in fs
+        latin = "lorem" in fs or "ipsum" in fs or sum(len(w) >= 6 and _LATIN.fullmatch(w) is not None for w in fs) >= LATIN_WORDS
         for p in passages(part):
             f = features(p)
             x = sum(map(self.weight, f))
@@ -296,6 +314,7 @@ def residue(docs: DataFrame, key: str, text: str) -> DataFrame:
             rows = []
             for k, t in zip(b[key], b[text]):
                 message, diff = parts(t)
+                message = _PICKED.sub("", message)
                 why = "field" if index.has_field(message) else "message" if index.is_residue(message) else "diff" if index.is_residue(diff) else None
                 if why:
                     rows.append((k, why))
