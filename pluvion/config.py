@@ -8,7 +8,7 @@ from typing import Any
 DEFAULTS: dict[str, Any] = {
     "time_res_min": 60, "min_rain": 0.1, "separation_h": 24, "min_event_min": 60, "durations_h": [1, 3, 6, 12, 24], "return_periods": [2, 5, 10, 20, 50, 100],
     "ws_list": [1, 3, 5], "left_censoring": [0.85, 1.0], "tolerance": 0.1, "a_fractions": [0.5], "pca_alphas": [0.5], "quantiles": [0.85, 0.9, 0.95, 0.99],
-    "temp_window_h": 24, "min_events_regression": 50, "uncertainty": {"enabled": False, "niter": 100, "percentiles": [5, 95], "seed": 0},
+    "temp_window_h": 24, "min_events_regression": 50, "uncertainty": {"enabled": False, "niter": 1000, "percentiles": [5, 95], "seed": 0},
     "output": {"root": "out/{model}/{period}", "compression": "zstd"},
 }
 

@@ -1,5 +1,7 @@
 """Left-censored Weibull tails, return levels, and their year-block bootstrap."""
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -37,55 +39,93 @@ def return_levels(fits: DataFrame, periods: list[int]) -> DataFrame:
     return rows.withColumn("level", return_level(F.col("shape"), F.col("scale"), F.col("per_year"), F.col("return_period").cast("double")))
 
 
-def drawn_blocks(events: DataFrame, keys: list[str], block: str, niter: int) -> DataFrame:
-    """keys, it, block and the values of its events: as many blocks as a key has, drawn with replacement ``niter`` times.
+def mixed_draws(key_no: int, blocks: int, niter: int) -> np.ndarray:
+    """(niter, blocks) numbers of drawn blocks, a fixed function of key number, iteration and slot. The product is taken of remainders, so that it does not overflow."""
+    prime = 2147483647
+    it, slot = np.arange(niter, dtype=np.int64)[:, None], np.arange(blocks, dtype=np.int64)[None, :]
+    return (it * 7919 + slot * 104729 + key_no * 1299709 + 12345) % prime * 48271 % prime % blocks
+
+
+def refitted(x: np.ndarray, block: np.ndarray, draws: np.ndarray, first: Callable[[int], int], last: Callable[[int], int]) -> tuple[np.ndarray, np.ndarray]:
+    """Slope and intercept of ln x on the plotting position for every row of ``draws`` with two used values at least.
 
-    The draw is a fixed function of key number, iteration and slot, so it does not depend on the partitioning; ``events`` has the key number as ``key_no``.
+    ``block`` is the number of each value's block. Of n drawn values in order those from ``first(n)`` on and before ``last(n)`` are used. Rows with equally
+    many values share their plotting positions and are fitted together, some millions of values at a time.
     """
-    blocks = events.select(*keys, "key_no", block).distinct()
-    w = W.partitionBy(*keys)
-    blocks = blocks.withColumn("b", F.row_number().over(w.orderBy(block)) - 1).withColumn("nb", F.count("*").over(w))
-    slots = blocks.withColumn("slot", F.col("b")).withColumn("it", F.explode(F.sequence(F.lit(0), F.lit(niter - 1))))
-    mixed = (F.col("it").cast("bigint") * 7919 + F.col("slot").cast("bigint") * 104729 + F.col("key_no").cast("bigint") * 1299709 + 12345) * 48271
-    draws = slots.select(*keys, "it", "slot", ((mixed % 2147483647) % F.col("nb")).alias("b"))
-    values = events.join(blocks.select(*keys, block, "b"), [*keys, block])
-    return draws.join(values, [*keys, "b"])
+    order = np.argsort(x, kind="stable")
+    ln, block = np.log(x)[order], block[order]
+    times = np.zeros((len(draws), draws.shape[1]), dtype=np.int64)
+    np.add.at(times, (np.arange(len(draws))[:, None], draws), 1)
+    lengths = times @ np.bincount(block, minlength=draws.shape[1])
+    slopes, intercepts = [], []
+    for n in np.unique(lengths):
+        a, b = first(int(n)), last(int(n))
+        if b - a < 2:
+            continue
+        y = np.log(-np.log(1 - np.arange(a + 1, b + 1) / (n + 1)))
+        dy = y - y.mean()
+        same = np.flatnonzero(lengths == n)
+        for part in np.array_split(same, -(-len(same) * int(n) // 4_000_000)):
+            used = np.repeat(np.tile(ln, len(part)), times[part][:, block].ravel()).reshape(len(part), n)[:, a:b]
+            mean = used.mean(axis=1)
+            slope = (used - mean[:, None]) @ dy / (dy @ dy)
+            slopes.append(slope)
+            intercepts.append(mean - slope * y.mean())
+    return (np.concatenate(slopes), np.concatenate(intercepts)) if slopes else (np.empty(0), np.empty(0))
+
+
+def mixed_interval(x: np.ndarray, block: np.ndarray, key_no: int, per_year: float, periods: list[float], niter: int, censor_pct: int = 85, share: float = 0.05) -> np.ndarray | None:
+    """(2, periods) percentiles of one group's return levels over mixed draws of its blocks; None without a fit. Blocks without a good value are drawn too."""
+    names, number = np.unique(block, return_inverse=True)
+    good = (x > 0) & (x < np.inf)
+    skip = lambda n: n * censor_pct // 100 if n * censor_pct // 100 > 1 else 0
+    slope, intercept = refitted(x[good], number[good], mixed_draws(key_no, len(names), niter), skip, lambda n: n)
+    fit = np.abs(slope) > 1e-12
+    if not fit.any():
+        return None
+    inner = -np.log(1 - (1 - 1 / np.asarray(periods, float)) ** (1 / per_year))
+    levels = np.exp(intercept[fit])[:, None] * inner[None, :] ** slope[fit][:, None]
+    return np.percentile(levels, [100 * share, 100 * (1 - share)], axis=0)
 
 
-def bootstrap(events: DataFrame, fits: DataFrame, keys: list[str], block: str, x: str, periods: list[int], niter: int = 20, share: float = 0.05) -> DataFrame:
-    """keys, return_period, lo, hi: percentiles of the return levels refitted to drawn year blocks; the number per year stays that of the fit."""
-    refit = weibull_fit(drawn_blocks(events, keys, block, niter), [*keys, "it"], x)
-    levels = return_levels(refit.join(fits.select(*keys, "per_year"), keys), periods)
-    bands = F.percentile("level", F.array(F.lit(share), F.lit(1 - share)))
-    return levels.groupBy(*keys, "return_period").agg(bands.alias("_p")).select(*keys, "return_period", F.col("_p")[0].alias("lo"), F.col("_p")[1].alias("hi"))
+def bootstrap(events: DataFrame, fits: DataFrame, keys: list[str], block: str, x: str, periods: list[int], niter: int, share: float = 0.05) -> DataFrame:
+    """keys, return_period, lo, hi: percentiles of the return levels refitted to drawn year blocks; the number per year stays that of the fit.
+
+    As many blocks as a key has are drawn with replacement ``niter`` times, by its key number ``key_no``, so the draw does not depend on the partitioning.
+    A group is the events of one cell and duration; they go over the wire once, not once a draw.
+    """
+    types = dict(events.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", return_period int, lo double, hi double"
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        band = mixed_interval(pdf[x].to_numpy(float), pdf[block].to_numpy(), int(pdf["key_no"].iloc[0]), float(pdf["per_year"].iloc[0]), periods, niter, share=share)
+        rows = [] if band is None else [(*key, p, *band[:, i]) for i, p in enumerate(periods)]
+        return pd.DataFrame(rows, columns=[*keys, "return_period", "lo", "hi"])
+
+    rows = events.select(*keys, "key_no", block, x).join(fits.select(*keys, "per_year"), keys)
+    return rows.groupBy(*keys).applyInPandas(one, schema)
 
 
 def seeded_interval(x: np.ndarray, block: np.ndarray, seed: list[int], periods: list[float], niter: int, censor: tuple[float, float] = (0.85, 1.0), bands: tuple[float, float] = (5, 95)) -> np.ndarray | None:
     """(2, periods) percentiles of one group's return levels over drawn blocks; None with fewer than two values. Draws follow a numpy seed."""
-    names, counts = np.unique(block, return_counts=True)
     if len(x) < 2:
         return None
+    names, number = np.unique(block, return_inverse=True)
     per_year = len(x) / len(names)
     rng = np.random.default_rng(np.random.SeedSequence(seed))
-    groups = [np.log(x[block == b]) for b in names]
     exceed = 1 - (1 - 1 / np.asarray(periods, float)) ** (1 / per_year)
-    levels = []
-    for draw in rng.integers(0, len(names), (niter, len(names))):
-        s = np.sort(np.concatenate([groups[d] for d in draw]))
-        n = len(s)
-        f, t = max(1, int(np.floor(n * censor[0]))), int(np.ceil(n * censor[1]))
-        a = 0 if f == 1 else f
-        if t - a < 2:
-            continue
-        y = np.log(-np.log(1 - np.arange(a + 1, t + 1) / (n + 1)))
-        dy, ds = y - y.mean(), s[a:t] - s[a:t].mean()
-        b = (dy @ ds) / (dy @ dy)
-        if b > 0:
-            levels.append(np.exp(s[a:t].mean() - b * y.mean()) * (-np.log(exceed)) ** b)
-    return np.percentile(np.array(levels), bands, axis=0).astype(np.float32) if levels else None
+
+    def first(n: int) -> int:
+        f = max(1, int(np.floor(n * censor[0])))
+        return 0 if f == 1 else f
+
+    slope, intercept = refitted(x, number, rng.integers(0, len(names), (niter, len(names))), first, lambda n: int(np.ceil(n * censor[1])))
+    up = slope > 0
+    levels = np.exp(intercept[up])[:, None] * (-np.log(exceed))[None, :] ** slope[up][:, None]
+    return np.percentile(levels, bands, axis=0).astype(np.float32) if up.any() else None
 
 
-def seeded_bootstrap(events: DataFrame, keys: list[str], block: str, x: str, seed_columns: list[str], periods: list[int], niter: int = 20, base_seed: int = 7) -> DataFrame:
+def seeded_bootstrap(events: DataFrame, keys: list[str], block: str, x: str, seed_columns: list[str], periods: list[int], niter: int, base_seed: int = 7) -> DataFrame:
     """keys, return_period, lo, hi with draws seeded by ``base_seed`` and the seed columns of the group, whatever the partitioning. A group is the events of one cell and duration."""
     good = events.where((F.col(x) > 0) & (F.col(x) < float("inf"))).select(*{*keys, *seed_columns}, block, x)
     types = dict(events.dtypes)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from pluvion import config
 from pluvion.operators import events as ev
 from pluvion.operators import fit, grid, scaling, spatial, tails
 from pluvion.operators.rolling import rounded
@@ -14,7 +15,8 @@ from pluvion.sources.tables import table
 
 WET, SEP, DRIZZLE = 4_000_000, 3, 1_000_000
 DURATIONS, PERIODS = [1, 3, 6], [2, 5, 10, 20, 50, 100]
-EPOCH, NX, NITER, PRE = "1995-01-01", 5, 20, 5
+EPOCH, NX, PRE = "1995-01-01", 5, 5
+NITER = config.DEFAULTS["uncertainty"]["niter"]
 #: A week taken out of the record, to have a gap: last step before, first step after.
 GAP = (900, 908)
 CELL = ["cell"]

@@ -99,3 +99,39 @@ def test_regression_of_few_or_equal(rows):
     few = [("few", float(i), 1.0 + i) for i in range(10)] + [("equal", 1.0, 1.0 + i) for i in range(60)] + [("equal", None, 1.0), ("equal", 1.0, -1.0)]
     got = scaling.quantile_regression(rows(few, "k string, x double, y double"), ["k"], "x", "y", [0.9]).collect()
     assert [(r["k"], r["n_events"], r["converged"], r["slope_pct"]) for r in got] == [("equal", 60, False, None)]
+
+
+def brute_levels(x, year, draws, per_year, periods):
+    """Return levels of every draw of year blocks, one refit after the other."""
+    names, levels = np.unique(year), []
+    for draw in draws:
+        s = np.sort(np.log(np.concatenate([x[year == names[b]] for b in draw])))
+        n = len(s)
+        a = n * 85 // 100 if n * 85 // 100 > 1 else 0
+        if n - a >= 2:
+            b, c = np.polyfit(np.log(-np.log(1 - np.arange(a + 1, n + 1) / (n + 1))), s[a:], 1)
+            if abs(b) > 1e-12:
+                levels.append([np.exp(c) * (-np.log(1 - (1 - 1 / p) ** (1 / per_year))) ** b for p in periods])
+    return np.array(levels)
+
+
+def test_bootstrap_queries_draw_as_often_as_the_settings(spark):
+    """Both registered queries against a refit after every one of the reference's 1000 draws."""
+    from oracle import DATA
+    from pluvion import config
+    from pluvion.plans import reference
+
+    niter = config.DEFAULTS["uncertainty"]["niter"]
+    assert niter == 1000
+    e = reference.ordinary(spark, DATA).select("cell", "duration", "year", "oe", "key_no").toPandas()
+    rel = reference.QUERIES["bootstrap_ci_rel"](spark, DATA).toPandas().set_index(["cell", "duration", "return_period"])
+    seeded = reference.QUERIES["bootstrap_ci_seeded"](spark, DATA).toPandas().set_index(["cell", "duration", "return_period"])
+    for (cell, duration), g in list(e.groupby(["cell", "duration"]))[:4]:
+        x, year, no = g["oe"].to_numpy(), g["year"].to_numpy(), int(g["key_no"].iloc[0])
+        nb = len(np.unique(year))
+        draws = [[(it * 7919 + slot * 104729 + no * 1299709 + 12345) * 48271 % 2147483647 % nb for slot in range(nb)] for it in range(niter)]
+        want = np.percentile(brute_levels(x, year, draws, len(x) / nb, reference.PERIODS), [5, 95], axis=0)
+        assert np.allclose(rel.loc[cell, duration].loc[reference.PERIODS, ["lo", "hi"]].T, want, atol=2e-6)
+        draws = np.random.default_rng(np.random.SeedSequence([7, no])).integers(0, nb, (niter, nb))
+        want = np.percentile(brute_levels(x, year, draws, len(x) / nb, reference.PERIODS), [5, 95], axis=0)
+        assert np.allclose(seeded.loc[cell, duration].loc[reference.PERIODS, ["lo", "hi"]].T, want, rtol=1e-5)
