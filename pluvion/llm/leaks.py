@@ -23,6 +23,8 @@ WINDOW, BLOCK = 4, 2
 SHARED = 3
 #: Score of the alignment: +1 for a word, and these; a passage scores at least ``LEAST``: a dozen words running over what a sentence form gives alone.
 MISMATCH, GAP, LEAST = -2.0, -1.5, 17.0
+#: Words of an unbroken exact run that are a passage by themselves; exact runs of sentence forms reached 9.
+EXACT = 12
 #: Seeds that a passage of that score must have, and words between seeds of one passage.
 SEEDS, NEAR = 3, 40
 #: Items searched for in one pass over the corpus; more are searched in blocks.
@@ -92,6 +94,22 @@ def best_alignment(doc: np.ndarray, item: np.ndarray) -> float:
     return float(best)
 
 
+def longest_run(doc: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]]) -> int:
+    """Words of the longest unbroken exact run with a seed in it."""
+    best, reach = 0, {}
+    for d, i in seeds:
+        if d < reach.get(d - i, 0):
+            continue
+        a = b = 0
+        while a < min(d, i) and doc[d - a - 1] == item[i - a - 1]:
+            a += 1
+        while d + b < len(doc) and i + b < len(item) and doc[d + b] == item[i + b]:
+            b += 1
+        reach[d - i] = d + b
+        best = max(best, a + b)
+    return best
+
+
 def leaked(doc: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]]) -> bool:
     """Whether a passage of the item stands in the document. ``seeds``: (place in the document, place in the item), by the former."""
     groups: list[list[tuple[int, int]]] = []
@@ -103,11 +121,7 @@ def leaked(doc: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]]) -> b
     for g in groups:
         if len(g) < SEEDS:
             continue
-        # an unbroken run of seeds is an exact passage
-        run = Counter(d - i for d, i in g)
-        diagonal, n = run.most_common(1)[0]
-        places = sorted(d for d, i in g if d - i == diagonal)
-        if n + WINDOW - 1 >= LEAST and places[-1] - places[0] == n - 1:
+        if longest_run(doc, item, g) >= EXACT:
             return True
         lo, hi = max(0, g[0][0] - len(item)), g[-1][0] + WINDOW + len(item)
         lo, hi = max(lo, g[0][0] - NEAR), min(hi, g[-1][0] + WINDOW + NEAR)
@@ -129,7 +143,7 @@ def own_words(items: list[tuple[int, str | None]]) -> list[tuple[int, list[str]]
 def leaks(docs: DataFrame, items: list[tuple[int, str | None]], key: str, text: str) -> DataFrame:
     """key, item_id: one row per document and item with a passage of the item's own content.
 
-    Whole texts are searched. NULL and empty texts hold nothing; rows with equal keys and passages give one row each; an item of fewer than seventeen
+    Whole texts are searched. NULL and empty texts hold nothing; rows with equal keys and passages give one row each; an item of fewer than twelve
     words of its own cannot leak.
     """
     schema = f"{key} {dict(docs.dtypes)[key]}, item_id int"

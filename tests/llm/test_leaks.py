@@ -66,3 +66,17 @@ def test_without_items_or_documents(rows):
 
 def test_words():
     assert words("<p>Bee­hive s​its</p>") == ["beehive", "sits"] and words(None) == []
+
+
+def test_short_exact_passages(rows):
+    rng = random.Random(5)
+    items = [(i, passage(rng, 60)) for i in range(4)] + [(4, passage(rng, 14))]
+    own = dict(own_words(items))
+    altered = own[3][10:24]
+    altered[7] = "other"
+    docs = [
+        (1, f"{passage(rng, 30)} {' '.join(own[0][20:32])} {passage(rng, 30)}"), (2, f"{passage(rng, 30)} {' '.join(own[1][20:31])} {passage(rng, 30)}"),
+        (3, f"{passage(rng, 9)} {' '.join(own[4])}"), (4, f"{' '.join(own[2][:16])}"), (5, f"{passage(rng, 30)} {' '.join(altered)} {passage(rng, 30)}"),
+    ]
+    got = sorted((r["doc_id"], r["item_id"]) for r in leaks(rows(docs, "doc_id long, text string"), items, "doc_id", "text").collect())
+    assert got == [(1, 0), (3, 4), (4, 2)]
