@@ -33,20 +33,33 @@ BLOCK_ITEMS = 5000
 LANE = 1024
 
 
+def windows(ws: list[str]) -> list[tuple[str, ...]]:
+    return list(zip(*(ws[j:] for j in range(WINDOW))))
+
+
+def shared_windows(texts: list[list[str]]) -> set[tuple[str, ...]]:
+    """Windows that more than ``SHARED`` texts hold."""
+    held = Counter(w for ws in texts for w in set(windows(ws)))
+    return {w for w, n in held.items() if n > SHARED}
+
+
 class Patterns:
-    """Tables of the search for one block of items."""
+    """Tables of the search for one block of items. ``phrasing``: windows that are no item's own, by default those of these items."""
 
-    def __init__(self, items: list[tuple[int, list[str]]]) -> None:
+    def __init__(self, items: list[tuple], phrasing: set[tuple[str, ...]] | None = None) -> None:
+        if phrasing is None:
+            phrasing = shared_windows([ws for _, ws in items])
         vocabulary: dict[str, int] = {}
         self.items = [(i, np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in ws], dtype=np.int64)) for i, ws in items]
         self.vocabulary, self.v = vocabulary, len(vocabulary) + 1
         places = defaultdict(list)
-        for n, (_, ids) in enumerate(self.items):
-            for p in range(len(ids) - WINDOW + 1):
+        for n, ((_, ids), (_, ws)) in enumerate(zip(self.items, items)):
+            own = [p for p, w in enumerate(windows(ws)) if w not in phrasing]
+            # an item that would have too few to be found keeps all of its windows
+            for p in own if len(own) >= SEEDS else range(len(ids) - WINDOW + 1):
                 places[self.key(ids[p : p + WINDOW])].append((n, p))
-        own = {k: at for k, at in places.items() if len({n for n, _ in at}) <= SHARED}
-        self.keys = np.array(sorted(own), dtype=np.int64)
-        self.places = [own[k] for k in sorted(own)]
+        self.keys = np.array(sorted(places), dtype=np.int64)
+        self.places = [places[k] for k in sorted(places)]
         far = WINDOW - BLOCK + 1
         self.shift = np.full(self.v**BLOCK, far, dtype=np.int8)
         for at in self.places:
@@ -131,8 +144,9 @@ def leaked(doc: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]]) -> b
 
 
 def own_words(items: list[tuple[int, str | None]]) -> list[tuple[int, list[str]]]:
-    """The words of each item without an opening that it shares with others."""
-    heads = Counter(" ".join(words((t or "").split("\n\n", 1)[0])) for _, t in items)
+    """The words of each item without an opening that it shares with others. Items of equal words count once."""
+    distinct = {" ".join(words(t)): t for _, t in items}
+    heads = Counter(" ".join(words((t or "").split("\n\n", 1)[0])) for t in distinct.values())
     out = []
     for i, t in items:
         head, _, rest = (t or "").partition("\n\n")
@@ -143,16 +157,20 @@ def own_words(items: list[tuple[int, str | None]]) -> list[tuple[int, list[str]]
 def leaks(docs: DataFrame, items: list[tuple[int, str | None]], key: str, text: str) -> DataFrame:
     """key, item_id: one row per document and item with a passage of the item's own content.
 
-    Whole texts are searched. NULL and empty texts hold nothing; rows with equal keys and passages give one row each; an item of fewer than twelve
+    Whole texts are searched. Items of equal own words are searched for once; what is phrasing is counted over all items, whatever block they fall into. NULL and empty texts hold nothing; rows with equal keys and passages give one row each; an item of fewer than twelve
     words of its own cannot leak.
     """
     schema = f"{key} {dict(docs.dtypes)[key]}, item_id int"
     found = []
-    prepared = own_words(items)
+    same = defaultdict(list)
+    for i, ws in own_words(items):
+        same[tuple(ws)].append(i)
+    prepared = [(ids, list(ws)) for ws, ids in same.items()]
+    phrasing = shared_windows([ws for _, ws in prepared])
     for block in [prepared[i : i + BLOCK_ITEMS] for i in range(0, len(prepared), BLOCK_ITEMS)] or [[]]:
 
         def search(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
-            patterns = Patterns(block)
+            patterns = Patterns(block, phrasing)
             number = patterns.vocabulary.get
             for b in batches:
                 ids, starts = [], [0]
@@ -168,9 +186,10 @@ def leaks(docs: DataFrame, items: list[tuple[int, str | None]], key: str, text:
                     for item, place in patterns.places[p]:
                         seeds[doc, item].append((int(end) - WINDOW + 1 - int(starts[doc]), place))
                 rows = [
-                    (b[key].iloc[doc], patterns.items[item][0])
+                    (b[key].iloc[doc], i)
                     for (doc, item), s in seeds.items()
                     if len(s) >= SEEDS and leaked(ids[starts[doc] : starts[doc + 1] - 1], patterns.items[item][1], s)
+                    for i in patterns.items[item][0]
                 ]
                 yield pd.DataFrame(rows, columns=[key, "item_id"]).astype({"item_id": "int32"})
 

@@ -80,3 +80,18 @@ def test_short_exact_passages(rows):
     ]
     got = sorted((r["doc_id"], r["item_id"]) for r in leaks(rows(docs, "doc_id long, text string"), items, "doc_id", "text").collect())
     assert got == [(1, 0), (3, 4), (4, 2)]
+
+
+def test_items_that_share_all_they_have(rows, monkeypatch):
+    """The same item under five suites, an item made of parts of others, and phrasing that is counted over all blocks."""
+    from pluvion.llm import leaks as module
+
+    monkeypatch.setattr(module, "BLOCK_ITEMS", 2)
+    rng = random.Random(6)
+    copied, parts, form = f"{passage(rng, 20)}\n\n{passage(rng, 40)}", [passage(rng, 15) for _ in range(2)], passage(rng, 14)
+    items = [(i, copied) for i in range(5)] + [(5, " ".join(parts))] + [(6 + i, f"{passage(rng, 30)} {' '.join(parts)} {passage(rng, 30)}") for i in range(4)]
+    items += [(20 + i, f"{passage(rng, 30)} {form} {passage(rng, 30)}") for i in range(6)]
+    docs = [(1, f"{passage(rng, 30)} {copied}"), (2, f"{passage(rng, 30)} {' '.join(parts)} {passage(rng, 30)}"), (3, f"{passage(rng, 30)} {form} {passage(rng, 30)}")]
+    got = sorted((r["doc_id"], r["item_id"]) for r in leaks(rows(docs, "doc_id long, text string"), items, "doc_id", "text").collect())
+    assert got == [(1, i) for i in range(5)] + [(2, 5)]
+    assert all(len(ws) == 60 for i, ws in own_words(items) if i < 5)
