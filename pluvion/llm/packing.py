@@ -135,8 +135,11 @@ def packed(sizes: DataFrame, capacities: dict[str, int], key: str) -> DataFrame:
         "bin_kind", F.concat(F.lit("c"), container).alias("container"), key, "piece", "start_token", "n_tokens",
         (F.col("offset") + (i % F.col("per")) * F.col("n_tokens")).cast("int").alias("offset"),
     )
-    own = items.where((F.col("n_tokens") == 0) | (F.col("n_tokens") == F.col("cap"))).select(
-        "bin_kind", F.when(F.col("n_tokens") > 0, F.concat_ws(".", F.lit("d"), F.coalesce(F.col(key).cast("string"), F.lit("?")), "piece")).alias("container"),
+    # equal keys, and rows without a key, are told apart by their rank in the part that they all fall into; "n" names no key
+    own = items.where((F.col("n_tokens") == 0) | (F.col("n_tokens") == F.col("cap")))
+    own = own.withColumn("_i", F.row_number().over(W.partitionBy("bin_kind", key, "piece", F.col("n_tokens") > 0).orderBy("start_token")))
+    own = own.select(
+        "bin_kind", F.when(F.col("n_tokens") > 0, F.concat_ws(".", F.when(F.col(key).isNull(), "n").otherwise("d"), F.col(key).cast("string"), "piece", "_i")).alias("container"),
         key, "piece", "start_token", "n_tokens", F.when(F.col("n_tokens") > 0, 0).alias("offset"),
     )
     return in_slots.unionByName(own)

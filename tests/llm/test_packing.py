@@ -57,3 +57,11 @@ def test_tokens_of_dirt(rows):
 
 def test_empty(rows):
     assert packed(rows([], "id long, n_tokens int"), {"s": 64}, "id").count() == 0
+
+
+def test_full_pieces_of_equal_keys_have_containers_of_their_own(rows):
+    sizes = [("1", 64), ("1", 64), ("1", 130), (None, 64), (None, 64), (None, 128), ("?", 64), ("1.0", 64), ("1.0", 64), ("1", 0), ("1", 0)]
+    out = packed(rows(sizes, "id string, n_tokens int"), {"s": 64}, "id").collect()
+    full = Counter(r["container"] for r in out if r["n_tokens"] == 64)
+    assert sum(full.values()) == 11 and set(full.values()) == {1}
+    assert sum(r["n_tokens"] for r in out) == sum(n for _, n in sizes)
