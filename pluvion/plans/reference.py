@@ -180,16 +180,25 @@ def q_fixed_point(spark: SparkSession, d: str) -> DataFrame:
     return ordinary(spark, d).select("cell", "duration", "s0", F.bround(F.col("total") / 1e6 * 10000).cast("bigint").alias("depth"))
 
 
+def civil_year(i: str):
+    """Civil year of step ``i`` of a run by its calendar: 360 or 365 days a year, or ts itself. Needs t0, time_res_min and cal_name."""
+    day = F.expr(f"({i} * time_res_min div 60) div 24")
+    plain = lambda n, before: F.year("t0") + F.floor((before + day) / n).cast("int")
+    before360 = (F.month("t0") - 1) * 30 + F.dayofmonth("t0") - 1
+    before365 = F.dayofyear("t0") - 1 - F.when((F.month("t0") > 2) & (F.dayofyear(F.make_date(F.year("t0"), F.lit(12), F.lit(31))) == 366), 1).otherwise(0)
+    return F.when(F.col("cal_name") == "360_day", plain(360, before360)).when(F.col("cal_name") == "365_day", plain(365, before365)).otherwise(F.year(F.date_add(F.col("t0").cast("date"), day.cast("int"))))
+
+
 def q_calendar(spark: SparkSession, d: str) -> DataFrame:
-    """Civil year of the first and last step of every run, by its calendar: 360 or 365 days a year, or ts itself."""
-    r = table(spark, d, "sim_run")
-    def at(i):
-        day = F.expr(f"({i} * time_res_min div 60) div 24")
-        plain = lambda n, before: F.year("t0") + F.floor((before + day) / n).cast("int")
-        before360 = (F.month("t0") - 1) * 30 + F.dayofmonth("t0") - 1
-        before365 = F.dayofyear("t0") - 1 - F.when((F.month("t0") > 2) & (F.dayofyear(F.make_date(F.year("t0"), F.lit(12), F.lit(31))) == 366), 1).otherwise(0)
-        return F.when(F.col("cal_name") == "360_day", plain(360, before360)).when(F.col("cal_name") == "365_day", plain(365, before365)).otherwise(F.year(F.date_add(F.col("t0").cast("date"), day.cast("int"))))
-    return r.select("run_id", "cal_name", at("0").alias("first_year"), at("(n_steps - 1)").alias("last_year"))
+    """Civil year of the first and last step of every run."""
+    return table(spark, d, "sim_run").select("run_id", "cal_name", civil_year("0").alias("first_year"), civil_year("(n_steps - 1)").alias("last_year"))
+
+
+def q_step_years(spark: SparkSession, d: str) -> DataFrame:
+    """Civil year of every distinct step of the hourly rows, by the calendar of its run; NULL for steps of a run that is not known."""
+    steps = table(spark, d, "pr_hourly").select("run_id", "t_i").where(F.col("t_i").isNotNull()).distinct()
+    runs = table(spark, d, "sim_run").select("run_id", "cal_name", "t0", "time_res_min").distinct()
+    return steps.join(runs, "run_id", "left").select("run_id", "t_i", "cal_name", F.when(F.col("t0").isNotNull(), civil_year("t_i")).alias("year"))
 
 
 def q_union(spark: SparkSession, d: str) -> DataFrame:
@@ -300,6 +309,7 @@ QUERIES = {
     "scaling_rates": q_scaling,
     "raster_bands": q_bands,
     "calendar_years": q_calendar,
+    "calendar_step_years": q_step_years,
     "union_parts": q_union,
     "fixed_point_depth": q_fixed_point,
 }

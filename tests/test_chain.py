@@ -135,3 +135,18 @@ def test_bootstrap_queries_draw_as_often_as_the_settings(spark):
         draws = np.random.default_rng(np.random.SeedSequence([7, no])).integers(0, nb, (niter, nb))
         want = np.percentile(brute_levels(x, year, draws, len(x) / nb, reference.PERIODS), [5, 95], axis=0)
         assert np.allclose(seeded.loc[cell, duration].loc[reference.PERIODS, ["lo", "hi"]].T, want, rtol=1e-5)
+
+
+def test_every_hourly_step_has_its_civil_year(spark, rows, folder):
+    from datetime import datetime
+
+    from pluvion.plans import reference
+
+    runs = [(1, "standard", datetime(2003, 12, 31), 60), (2, "360_day", datetime(2004, 1, 1), 60), (3, "365_day", datetime(2004, 12, 30), 60), (4, "360_day", datetime(2004, 12, 1), 30)]
+    hours = [(1, 23), (1, 24), (1, 24), (1, 24 * 366 + 23), (1, 24 * 367), (2, 8639), (2, 8640), (3, 47), (3, 48), (4, 48 * 30 - 1), (4, 48 * 30), (9, 5), (1, None)]
+    d = folder(sim_run=rows(runs, "run_id int, cal_name string, t0 timestamp, time_res_min smallint"), pr_hourly=rows(hours, "run_id int, t_i int"))
+    got = sorted((r["run_id"], r["t_i"], r["year"]) for r in reference.QUERIES["calendar_step_years"](spark, d).collect())
+    assert got == [
+        (1, 23, 2003), (1, 24, 2004), (1, 24 * 366 + 23, 2004), (1, 24 * 367, 2005), (2, 8639, 2004), (2, 8640, 2005), (3, 47, 2004), (3, 48, 2005),
+        (4, 48 * 30 - 1, 2004), (4, 48 * 30, 2005), (9, 5, None),
+    ]
