@@ -81,3 +81,11 @@ def annual_maxima(events: DataFrame, keys: list[str]) -> DataFrame:
     rest = [c for c in events.columns if c not in (*keys, "year", "total", "s0")]
     best = F.max(F.struct("total", (-F.col("s0")).alias("_s0"), *rest)).alias("_b")
     return events.groupBy(*keys, "year").agg(best).select(*keys, "year", "_b.total", (-F.col("_b._s0")).alias("s0"), *[f"_b.{c}" for c in rest])
+
+
+def complete_years(rows: DataFrame, keys: list[str], year: str, v: str, expected: float, tolerance: float) -> DataFrame:
+    """The rows of each key's years of which a share of 1 - tolerance at least of ``expected`` steps is valid; missing values of those years become 0."""
+    good = F.col(v).isNotNull() & ~F.isnan(F.col(v).cast("double"))
+    share = F.count(F.when(good, 1)).over(W.partitionBy(*keys, year)) / F.lit(float(expected))
+    kept = rows.withColumn("_share", share).where(F.col("_share") >= 1 - tolerance).drop("_share")
+    return kept.withColumn(v, F.when(good, F.col(v)).otherwise(F.lit(0).cast(rows.schema[v].dataType)))

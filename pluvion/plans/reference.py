@@ -154,6 +154,11 @@ def q_completeness(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("cell", "year").agg(F.count("v").alias("n_valid")).withColumn("share", F.round(F.col("n_valid") / 365.0, 6)).withColumn("complete", F.col("n_valid") / 365.0 >= 0.5)
 
 
+def q_complete_years(spark: SparkSession, d: str) -> DataFrame:
+    """The cube without incomplete years, by the tolerance of the settings. Days without rows are dry days of the cube, not missing ones."""
+    return ev.complete_years(cube(spark, d).withColumn("year", year()), CELL, "year", "v", 365, config.DEFAULTS["tolerance"])
+
+
 def q_yearly(spark: SparkSession, d: str) -> DataFrame:
     s = cube(spark, d).withColumn("year", year()).withColumn("p", F.when(F.col("v") > 0, F.col("v") / 1e6))
     return rounded(s.groupBy("cell", "year").agg(F.sum("v").alias("total"), F.avg("p").alias("mean"), F.stddev_samp("p").alias("sd"), F.count("p").alias("n_wet")), mean=9)
@@ -280,6 +285,7 @@ QUERIES = {
     "mean_annual_max": q_mean_maximum,
     "events_per_year": lambda s, d: rounded(ordinary(s, d).groupBy(*KEY).agg(F.count("*").alias("n"), F.countDistinct("year").alias("n_years"), (F.count("*") / F.countDistinct("year")).alias("per_year"))),
     "year_completeness": q_completeness,
+    "complete_years": q_complete_years,
     "yearly_stats": q_yearly,
     "weibull_fit": lambda s, d: rounded(fits(s, d)),
     "weibull_fit_uncensored": lambda s, d: rounded(fits(s, d, 0)),

@@ -150,3 +150,15 @@ def test_every_hourly_step_has_its_civil_year(spark, rows, folder):
         (1, 23, 2003), (1, 24, 2004), (1, 24 * 366 + 23, 2004), (1, 24 * 367, 2005), (2, 8639, 2004), (2, 8640, 2005), (3, 47, 2004), (3, 48, 2005),
         (4, 48 * 30 - 1, 2004), (4, 48 * 30, 2005), (9, 5, None),
     ]
+
+
+def test_incomplete_years_are_dropped(spark, rows):
+    from oracle import DATA
+    from pluvion.plans import reference
+
+    data = [(1, y, t, 1.0 if t < n else bad) for y, n, bad in ((2000, 329, None), (2001, 328, None), (2002, 329, float("nan")), (2003, 200, float("nan"))) for t in range(365)]
+    data += [(2, 2001, t, 2.0) for t in range(365)]
+    got = ev.complete_years(rows(data, "k int, year int, t int, v double"), ["k"], "year", "v", 365, 0.1).groupBy("k", "year").agg(F.count("v").alias("n"), F.sum("v").alias("s"))
+    assert sorted(map(tuple, got.collect())) == [(1, 2000, 365, 329.0), (1, 2002, 365, 329.0), (2, 2001, 365, 730.0)]
+    years = reference.QUERIES["complete_years"](spark, DATA).select("year").distinct().collect()
+    assert sorted(r["year"] for r in years) == list(range(1995, 2001))
