@@ -30,19 +30,19 @@ def longer_than(df: DataFrame, least: int) -> DataFrame:
     return df.where(F.col("s1") - F.col("s0") + 1 >= least)
 
 
-def away_from_edges(df: DataFrame, sep: int, first: int, last: int) -> DataFrame:
+def away_from_edges(df: DataFrame, sep: int, first: int | Column, last: int | Column) -> DataFrame:
     """Drops storms that begin less than ``sep`` steps after the record's first step or end less than that before its last."""
     return df.where((F.col("s0") - first >= sep) & (F.lit(last) - F.col("s1") >= sep))
 
 
 def away_from_gaps(df: DataFrame, wet_steps: DataFrame, gaps: list[tuple[int, int]], keys: list[str], sep: int, t: str = "t") -> DataFrame:
-    """Drops storms with a wet step in the ``sep`` steps before a gap's end or from its start on. ``gaps``: (last step before, first step after).
+    """Drops storms with a wet step in the ``sep`` steps before the last step before a gap, or in the ``sep`` steps from the first step after it on.
 
-    Half open: a step at the end of the gap itself does no harm.
+    ``gaps``: (last step before, first step after). Half open: the last step before a gap does no harm by itself.
     """
     near = F.lit(False)
-    for start, end in gaps:
-        near = near | ((F.col(t) >= end - sep) & (F.col(t) < end)) | ((F.col(t) >= start) & (F.col(t) < start + sep))
+    for before, after in gaps:
+        near = near | ((F.col(t) >= before - sep) & (F.col(t) < before)) | ((F.col(t) >= after) & (F.col(t) < after + sep))
     hit = wet_steps.where(near).select(*keys, F.col(t).alias("_at"))
     # a wet step near a gap lies in at most one storm of its series: as of the last storm that began before it
     w = W.partitionBy(*keys).orderBy("_at", "_kind").rowsBetween(W.unboundedPreceding, 0)

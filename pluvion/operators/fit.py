@@ -39,11 +39,23 @@ def return_levels(fits: DataFrame, periods: list[int]) -> DataFrame:
     return rows.withColumn("level", return_level(F.col("shape"), F.col("scale"), F.col("per_year"), F.col("return_period").cast("double")))
 
 
+#: Multipliers of key, iteration and slot, and of the mixer's rounds.
+SPREAD, ROUND, WORD = (40503, 2654435761, 2246822519), 73244475, 0xFFFFFFFF
+
+
+def stirred(h: np.ndarray) -> np.ndarray:
+    """Two rounds of shift, exclusive or and product on 32 bits, which no sum of the inputs passes through unchanged. Products stay below 2**63."""
+    for _ in range(2):
+        h = ((h ^ (h >> 16)) * ROUND) & WORD
+    return h ^ (h >> 16)
+
+
 def mixed_draws(key_no: int, blocks: int, niter: int) -> np.ndarray:
-    """(niter, blocks) numbers of drawn blocks, a fixed function of key number, iteration and slot. The product is taken of remainders, so that it does not overflow."""
-    prime = 2147483647
+    """(niter, blocks) numbers of blocks drawn with replacement: a fixed function of key number, iteration and slot, stirred after each of them, that SQL can follow."""
     it, slot = np.arange(niter, dtype=np.int64)[:, None], np.arange(blocks, dtype=np.int64)[None, :]
-    return (it * 7919 + slot * 104729 + key_no * 1299709 + 12345) % prime * 48271 % prime % blocks
+    h = stirred(np.int64((key_no & WORD) * SPREAD[0] & WORD))
+    h = stirred((h + (it + 1) * SPREAD[1]) & WORD)
+    return stirred((h + (slot + 1) * SPREAD[2]) & WORD) % blocks
 
 
 def refitted(x: np.ndarray, block: np.ndarray, draws: np.ndarray, first: Callable[[int], int], last: Callable[[int], int]) -> tuple[np.ndarray, np.ndarray]:
@@ -107,33 +119,35 @@ def bootstrap(events: DataFrame, fits: DataFrame, keys: list[str], block: str, x
 
 
 def seeded_interval(x: np.ndarray, block: np.ndarray, seed: list[int], periods: list[float], niter: int, censor: tuple[float, float] = (0.85, 1.0), bands: tuple[float, float] = (5, 95)) -> np.ndarray | None:
-    """(2, periods) percentiles of one group's return levels over drawn blocks; None with fewer than two values. Draws follow a numpy seed."""
-    if len(x) < 2:
+    """(2, periods) percentiles of one group's return levels over drawn blocks; None where no draw has a fit.
+
+    Draws follow a numpy seed: one row of numbers a block, one column a sample. Fits of any finite slope count, as the estimator has them.
+    """
+    if len(x) == 0:
         return None
     names, number = np.unique(block, return_inverse=True)
     per_year = len(x) / len(names)
-    rng = np.random.default_rng(np.random.SeedSequence(seed))
+    draws = np.random.default_rng(np.random.SeedSequence(seed)).integers(0, len(names), (len(names), niter)).T
     exceed = 1 - (1 - 1 / np.asarray(periods, float)) ** (1 / per_year)
 
     def first(n: int) -> int:
         f = max(1, int(np.floor(n * censor[0])))
         return 0 if f == 1 else f
 
-    slope, intercept = refitted(x, number, rng.integers(0, len(names), (niter, len(names))), first, lambda n: int(np.ceil(n * censor[1])))
-    up = slope > 0
-    levels = np.exp(intercept[up])[:, None] * (-np.log(exceed))[None, :] ** slope[up][:, None]
-    return np.percentile(levels, bands, axis=0).astype(np.float32) if up.any() else None
+    slope, intercept = refitted(x, number, draws, first, lambda n: int(np.ceil(n * censor[1])))
+    with np.errstate(over="ignore", invalid="ignore"):
+        levels = np.exp(intercept)[:, None] * (-np.log(exceed))[None, :] ** slope[:, None]
+    return np.nanpercentile(levels, bands, axis=0).astype(np.float32) if np.isfinite(levels).any() else None
 
 
-def seeded_bootstrap(events: DataFrame, keys: list[str], block: str, x: str, seed_columns: list[str], periods: list[int], niter: int, base_seed: int = 7) -> DataFrame:
-    """keys, return_period, lo, hi with draws seeded by ``base_seed`` and the seed columns of the group, whatever the partitioning. A group is the events of one cell and duration."""
-    good = events.where((F.col(x) > 0) & (F.col(x) < float("inf"))).select(*{*keys, *seed_columns}, block, x)
+def seeded_bootstrap(events: DataFrame, keys: list[str], block: str, x: str, seed_column: str, periods: list[int], niter: int, base_seed: int = 0) -> DataFrame:
+    """keys, return_period, lo, hi with draws seeded by ``base_seed`` and the group's raster cell, whatever the partitioning. A group is the events of one cell and duration."""
+    good = events.where((F.col(x) > 0) & (F.col(x) < float("inf"))).select(*{*keys, seed_column}, block, x)
     types = dict(events.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", return_period int, lo float, hi float"
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        seed = [base_seed, *(int(pdf[c].iloc[0]) for c in seed_columns)]
-        band = seeded_interval(pdf[x].to_numpy(float), pdf[block].to_numpy(), seed, periods, niter)
+        band = seeded_interval(pdf[x].to_numpy(float), pdf[block].to_numpy(), [base_seed, int(pdf[seed_column].iloc[0])], periods, niter)
         rows = [] if band is None else [(*key, p, *band[:, i]) for i, p in enumerate(periods)]
         return pd.DataFrame(rows, columns=[*keys, "return_period", "lo", "hi"])
 

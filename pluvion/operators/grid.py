@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def densify(sums: DataFrame, keys: list[str], t: str, v: str, lo: int, hi: int) -> DataFrame:
+def densify(sums: DataFrame, keys: list[str], t: str, v: str, lo: int | Column, hi: int | Column) -> DataFrame:
     """A row for every key and every ``t`` from ``lo`` to ``hi``; absent values are 0. An empty table stays empty."""
     every = sums.select(*keys).distinct().withColumn(t, F.explode(F.sequence(F.lit(lo), F.lit(hi))))
     return every.join(sums, [*keys, t], "left").withColumn(v, F.coalesce(v, F.lit(0)))
@@ -43,15 +43,15 @@ def strict_mean(cube: DataFrame, size: int, **names: str) -> DataFrame:
     return window_sums(cube, size, **names).withColumn("mean", F.when(F.col("n_valid") == size * size, F.col("total") / F.lit(float(size * size))))
 
 
-def edge_mean(cube: DataFrame, size: int, ny: int, nx: int) -> DataFrame:
+def edge_mean(cube: DataFrame, size: int, ny: int | Column, nx: int | Column) -> DataFrame:
     """y, x, t, mean with the border repeated outwards: a border cell counts as often as the window reaches beyond it. Any NULL gives NULL."""
     a, b = bounds(size)
     reach = F.sequence(F.lit(a), F.lit(b))
 
-    def passed(df: DataFrame, axis: str, n: int) -> DataFrame:
+    def passed(df: DataFrame, axis: str, n: int | Column) -> DataFrame:
         # each cell is sent to the cells whose clamped window holds it, with the number of times it does
-        hits = df.withColumn("_to", F.explode(F.sequence(F.greatest(F.lit(0), F.col(axis) - b), F.least(F.lit(n - 1), F.col(axis) - a))))
-        far = F.transform(reach, lambda d: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.col("_to") + d)))
+        hits = df.withColumn("_last", F.lit(n - 1)).withColumn("_to", F.explode(F.sequence(F.greatest(F.lit(0), F.col(axis) - b), F.least(F.col("_last"), F.col(axis) - a))))
+        far = F.transform(reach, lambda d: F.greatest(F.lit(0), F.least(F.col("_last"), F.col("_to") + d)))
         times = F.size(F.filter(far, lambda p: p == F.col(axis)))
         other = "x" if axis == "y" else "y"
         s = hits.withColumn("_w", times).groupBy(F.col("_to").alias(axis), other, "t")
@@ -62,7 +62,7 @@ def edge_mean(cube: DataFrame, size: int, ny: int, nx: int) -> DataFrame:
     return out.select("y", "x", "t", F.when(F.col("_k") == size * size, F.col("_s") / F.lit(float(size * size))).alias("mean"))
 
 
-def crop_odd(cells: DataFrame, size: int, ny: int, nx: int) -> DataFrame:
+def crop_odd(cells: DataFrame, size: int, ny: int | Column, nx: int) -> DataFrame:
     """Cells whose window of odd size lies inside the grid."""
     m = (size - 1) // 2
     return cells.where(F.col("y").between(m, ny - 1 - m) & F.col("x").between(m, nx - 1 - m))

@@ -7,22 +7,26 @@ from pyspark.sql import Window as W
 from pluvion.operators.grid import bounds, drizzle_to_zero
 
 
-def fields(events: DataFrame, cube: DataFrame, event_keys: list[str], size: int, least: int) -> DataFrame:
+def fields(events: DataFrame, cube: DataFrame, event_keys: list[str], size: int, least: int, durations: list[int]) -> DataFrame:
     """event keys, duration, dy, dx, f: the sum over the duration's steps around the peak of each cell of the window; drizzle is zero.
 
-    ``events``: event keys, y, x, duration, oe_i; ``cube``: y, x, t, v. Offsets and steps are exploded from the events, so the cube is met by an equal
-    join on (y, x, t). Steps outside the record add nothing; cells outside the grid give no row; a NULL step gives a NULL field.
+    ``events``: event keys, y, x, duration, oe_i; ``cube``: y, x, t, v. The moving sums in time are made once per cell and duration, whatever the number of
+    events; an event asks for those of its window at its peak, by an equal join on (y, x, t). Steps outside the record add nothing; cells outside the grid
+    give no row; a NULL step gives a NULL field.
     """
     a, b = bounds(size)
     reach = F.sequence(F.lit(a), F.lit(b))
-    k = F.col("duration")
+    series = W.partitionBy("y", "x").orderBy("t")
+    moving = cube.select("y", "x", "t", drizzle_to_zero(F.col("v"), least).alias("v"))
+    for k in durations:
+        frame = series.rangeBetween(-(k // 2), (k - 1) // 2)
+        moving = moving.withColumn(f"_f{k}", F.when(F.count("v").over(frame) == F.count("*").over(frame), F.sum("v").over(frame)))
     asked = (
         events.withColumn("dy", F.explode(reach)).withColumn("dx", F.explode(reach))
-        .withColumn("t", F.explode(F.sequence(F.col("oe_i") - F.expr("duration div 2"), F.col("oe_i") + F.expr("(duration - 1) div 2"))))
-        .select(*event_keys, k, "dy", "dx", "t", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"))
+        .select(*event_keys, "duration", "dy", "dx", F.col("oe_i").alias("t"), (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"))
     )
-    met = asked.join(cube.select("y", "x", "t", drizzle_to_zero(F.col("v"), least).alias("v")), ["y", "x", "t"])
-    return met.groupBy(*event_keys, "duration", "dy", "dx").agg(F.when(F.count("v") == F.count("*"), F.sum("v")).alias("f"))
+    f = F.coalesce(*[F.when(F.col("duration") == k, F.col(f"_f{k}")) for k in durations])
+    return asked.join(moving.drop("v"), ["y", "x", "t"]).select(*event_keys, "duration", "dy", "dx", f.alias("f"))
 
 
 def metrics(field: DataFrame, event_keys: list[str], size: int) -> DataFrame:

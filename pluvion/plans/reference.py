@@ -3,7 +3,7 @@
 The grid has five columns of cells. Values of events are means over the duration in units of a million cents.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -11,6 +11,7 @@ from pluvion import config
 from pluvion.operators import events as ev
 from pluvion.operators import fit, grid, scaling, spatial, tails
 from pluvion.operators.rolling import rounded
+from pluvion.scratch import written
 from pluvion.sources.tables import table
 
 WET, SEP, DRIZZLE = 4_000_000, 3, 1_000_000
@@ -30,16 +31,20 @@ def sums(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("cell", "t").agg(F.sum("c").alias("v"), F.avg("l_quantity").alias("q"))
 
 
-def extent(spark: SparkSession, d: str) -> tuple[int, int, int]:
-    """First and last step, and rows of the grid."""
-    t = F.datediff(F.col("l_shipdate").cast("date"), F.lit(EPOCH))
-    lo, hi, cells = table(spark, d, "lineitem").agg(F.min(t), F.max(t), F.max("l_suppkey")).first()
-    return (lo, hi, cells // NX + 1) if lo is not None else (0, 0, 1)
+def daily(spark: SparkSession, d: str) -> DataFrame:
+    """The daily sums, written once for all that a query makes of them."""
+    return written(sums(spark, d), "daily-sums")
+
+
+def extent(s: DataFrame) -> tuple[Column, Column, Column]:
+    """First and last step, and rows of the grid, as scalar subqueries; NULL for an empty table."""
+    one = lambda f, c: s.agg(f(c)).scalar()
+    return one(F.min, "t"), one(F.max, "t"), s.agg(F.expr(f"max(cell) div {NX} + 1").cast("int")).scalar()
 
 
-def cube(spark: SparkSession, d: str) -> DataFrame:
-    lo, hi, _ = extent(spark, d)
-    rows = grid.densify(sums(spark, d).select("cell", "t", "v"), CELL, "t", "v", lo, hi)
+def cube(s: DataFrame) -> DataFrame:
+    lo, hi, _ = extent(s)
+    rows = grid.densify(s.select("cell", "t", "v"), CELL, "t", "v", lo, hi)
     return rows.select("cell", F.expr(f"cell div {NX}").cast("int").alias("y"), (F.col("cell") % NX).alias("x"), "t", "v")
 
 
@@ -47,65 +52,81 @@ def year(t: str = "t"):
     return F.year(F.date_add(F.lit(EPOCH).cast("date"), F.col(t)))
 
 
-def storms(spark: SparkSession, d: str, least: int = WET) -> DataFrame:
-    return ev.storms(sums(spark, d).where(grid.is_wet(F.col("v"), least)), CELL, SEP)
+def storms(s: DataFrame, least: int = WET) -> DataFrame:
+    return ev.storms(s.where(grid.is_wet(F.col("v"), least)), CELL, SEP)
 
 
-def ordinary(spark: SparkSession, d: str) -> DataFrame:
-    """cell, y, x, duration, s0, s1, total, oe, oe_i, year (of the peak), key_no."""
-    lo, hi, _ = extent(spark, d)
-    inside = ev.in_storms(cube(spark, d), CELL, grid.is_wet(F.col("v"), WET), SEP)
+def ordinary(s: DataFrame) -> DataFrame:
+    """cell, y, x, duration, s0, s1, total, oe, oe_i, year (of the peak), key_no, raster_no (duration, row from the north, column); written once for a query."""
+    lo, hi, ny = extent(s)
+    inside = ev.in_storms(cube(s), CELL, grid.is_wet(F.col("v"), WET), SEP)
     rows = ev.peaks(ev.away_from_edges(inside, SEP, lo, hi), CELL, DURATIONS)
     x = F.col("total").cast("double") / (F.col("duration") * F.lit(1e6))
-    return rows.select(
+    di = F.array_position(F.array(*map(F.lit, DURATIONS)), F.col("duration")) - 1
+    rows = rows.select(
         "cell", F.expr(f"cell div {NX}").cast("int").alias("y"), (F.col("cell") % NX).alias("x"), "duration", "s0", "s1", "total", x.alias("oe"), "oe_i",
-        year("oe_i").alias("year"), (F.col("cell") * 10 + F.col("duration")).alias("key_no"),
+        year("oe_i").alias("year"), (F.col("cell") * 10 + F.col("duration")).alias("key_no"), ny.alias("_ny"),
     )
+    rows = rows.withColumn("raster_no", ((di * F.col("_ny") + F.col("_ny") - 1 - F.col("y")) * NX + F.col("x")).cast("bigint")).drop("_ny")
+    return written(rows, "events")
+
+
+def events(spark: SparkSession, d: str) -> DataFrame:
+    return ordinary(daily(spark, d))
 
 
 KEY = ["cell", "duration"]
 
 
-def fits(spark: SparkSession, d: str, censor: int = 85) -> DataFrame:
-    e = ordinary(spark, d)
+def fits(e: DataFrame, censor: int = 85) -> DataFrame:
     per_year = e.groupBy(*KEY).agg((F.count("*") / F.countDistinct("year")).alias("per_year"))
     return fit.weibull_fit(e, KEY, "oe", censor).join(per_year, KEY)
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Events with the mean quantity of the days before their peak."""
-    lo, hi, _ = extent(spark, d)
-    q = sums(spark, d).select("cell", "t", "q").select("cell", "t", F.col("q").alias("v"))
-    every = q.select("cell").distinct().withColumn("t", F.explode(F.sequence(F.lit(lo), F.lit(hi))))
+    """Events with the mean quantity of the days before their peak; written once for a query."""
+    s = daily(spark, d)
+    lo, hi, _ = extent(s)
+    q = s.select("cell", "t", F.col("q").alias("v"))
+    every = q.select("cell").distinct().withColumn("t", F.explode(F.sequence(lo, hi)))
     # days without rows carry the last mean on, so that the covariate has no gaps
     w = W.partitionBy("cell").orderBy("t").rowsBetween(W.unboundedPreceding, 0)
     full = every.join(q, ["cell", "t"], "left").withColumn("v", F.last("v", ignorenulls=True).over(w))
     pre = scaling.preceding_mean(full, CELL, "t", "v", PRE).where(F.col("pre").isNotNull())
-    return ordinary(spark, d).join(pre.select("cell", F.col("t").alias("oe_i"), "pre"), ["cell", "oe_i"])
+    return written(ordinary(s).join(pre.select("cell", F.col("t").alias("oe_i"), "pre"), ["cell", "oe_i"]), "pairs")
 
 
-def tail_events(spark: SparkSession, d: str) -> DataFrame:
-    e = ordinary(spark, d)
+def classes(e: DataFrame) -> DataFrame:
     return tails.classified(e, tails.thresholds_higher(e, KEY, "total"), KEY, "total")
 
 
-def fields(spark: SparkSession, d: str, size: int = 3) -> DataFrame:
-    e = tail_events(spark, d).select("cell", "s0", "y", "x", "duration", "oe_i")
-    return spatial.fields(e, cube(spark, d), ["cell", "s0"], size, DRIZZLE)
+def tail_events(spark: SparkSession, d: str) -> DataFrame:
+    return classes(events(spark, d))
+
+
+def with_fields(spark: SparkSession, d: str, chosen, size: int = 3) -> tuple[DataFrame, DataFrame]:
+    """The chosen events, and the fields around their peaks."""
+    s = daily(spark, d)
+    e = chosen(ordinary(s))
+    return e, spatial.fields(e.select("cell", "s0", "y", "x", "duration", "oe_i"), cube(s), ["cell", "s0"], size, DRIZZLE, DURATIONS)
+
+
+def fields(spark: SparkSession, d: str) -> DataFrame:
+    return with_fields(spark, d, classes)[1]
 
 
 def metrics(spark: SparkSession, d: str) -> DataFrame:
     return spatial.metrics(fields(spark, d), ["cell", "s0"], 3)
 
 
-def maxima(spark: SparkSession, d: str) -> DataFrame:
-    return ev.annual_maxima(ordinary(spark, d), KEY)
+def maxima(e: DataFrame) -> DataFrame:
+    return ev.annual_maxima(e, KEY)
 
 
 def q_mean_maximum(spark: SparkSession, d: str) -> DataFrame:
     """The totals are added as whole numbers and divided once, so that the mean does not depend on the order of the rows."""
     mean = F.sum("total").cast("double") / (F.count("total") * F.col("duration") * F.lit(1e6))
-    return rounded(maxima(spark, d).groupBy(*KEY).agg(mean.alias("mam")))
+    return rounded(maxima(events(spark, d)).groupBy(*KEY).agg(mean.alias("mam")))
 
 
 def stations(spark: SparkSession, d: str) -> DataFrame:
@@ -116,29 +137,30 @@ def stations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_grid_crop(spark: SparkSession, d: str, size: int) -> DataFrame:
-    lo, _, ny = extent(spark, d)
-    c = cube(spark, d)
-    first = c.where(F.col("t") == lo)
+    s = daily(spark, d)
+    lo, _, ny = extent(s)
+    first = cube(s).where(F.col("t") == lo)
     cells = first.select("cell", "y", "x")
     return grid.crop_odd(cells, size, ny, NX) if size % 2 else grid.crop_even(cells, first.select("y", "x", "v"), size)
 
 
 def q_areal(spark: SparkSession, d: str, size: int) -> DataFrame:
-    return rounded(grid.strict_mean(cube(spark, d), size).select("cell", "t", (F.col("mean") / 1e6).alias("mean")), 8)
+    return rounded(grid.strict_mean(cube(daily(spark, d)), size).select("cell", "t", (F.col("mean") / 1e6).alias("mean")), 8)
 
 
 def q_areal_edge(spark: SparkSession, d: str) -> DataFrame:
-    _, _, ny = extent(spark, d)
-    return rounded(grid.edge_mean(cube(spark, d), 3, ny, NX).select("y", "x", "t", (F.col("mean") / 1e6).alias("mean")))
+    s = daily(spark, d)
+    return rounded(grid.edge_mean(cube(s), 3, extent(s)[2], NX).select("y", "x", "t", (F.col("mean") / 1e6).alias("mean")))
 
 
 def q_storms_edges(spark: SparkSession, d: str) -> DataFrame:
-    lo, hi, _ = extent(spark, d)
-    return ev.away_from_edges(storms(spark, d), SEP, lo, hi)
+    s = daily(spark, d)
+    lo, hi, _ = extent(s)
+    return ev.away_from_edges(storms(s), SEP, lo, hi)
 
 
 def q_storms_gaps(spark: SparkSession, d: str) -> DataFrame:
-    wet = sums(spark, d).where((F.col("v") >= WET) & ~F.col("t").between(GAP[0] + 1, GAP[1] - 1))
+    wet = daily(spark, d).where((F.col("v") >= WET) & ~F.col("t").between(GAP[0] + 1, GAP[1] - 1))
     return ev.away_from_gaps(ev.storms(wet, CELL, SEP), wet, [GAP], CELL, SEP)
 
 
@@ -156,33 +178,33 @@ def q_completeness(spark: SparkSession, d: str) -> DataFrame:
 
 def q_complete_years(spark: SparkSession, d: str) -> DataFrame:
     """The cube without incomplete years, by the tolerance of the settings. Days without rows are dry days of the cube, not missing ones."""
-    return ev.complete_years(cube(spark, d).withColumn("year", year()), CELL, "year", "v", 365, config.DEFAULTS["tolerance"])
+    return ev.complete_years(cube(daily(spark, d)).withColumn("year", year()), CELL, "year", "v", 365, config.DEFAULTS["tolerance"])
 
 
 def q_yearly(spark: SparkSession, d: str) -> DataFrame:
-    s = cube(spark, d).withColumn("year", year()).withColumn("p", F.when(F.col("v") > 0, F.col("v") / 1e6))
+    s = cube(daily(spark, d)).withColumn("year", year()).withColumn("p", F.when(F.col("v") > 0, F.col("v") / 1e6))
     return rounded(s.groupBy("cell", "year").agg(F.sum("v").alias("total"), F.avg("p").alias("mean"), F.stddev_samp("p").alias("sd"), F.count("p").alias("n_wet")), mean=9)
 
 
 def q_summary(spark: SparkSession, d: str) -> DataFrame:
-    lv = fit.return_levels(fits(spark, d), PERIODS)
+    lv = fit.return_levels(fits(events(spark, d)), PERIODS)
     wide = lv.groupBy(*KEY, "shape", "scale").pivot("return_period", PERIODS).agg(F.first("level"))
     return wide.select(*KEY, F.round("shape", 4).alias("shape"), F.round("scale", 4).alias("scale"), *[F.round(str(p), 4).alias(f"rl_{p}") for p in PERIODS])
 
 
 def q_bands(spark: SparkSession, d: str) -> DataFrame:
-    """Band and raster row of every level: duration-major bands, rows from the north for a grid whose y grows northwards; affine origin and step."""
-    _, _, ny = extent(spark, d)
-    lv = fit.return_levels(fits(spark, d), PERIODS)
+    """Band and raster row of every level: duration-major bands, rows from the north for a grid whose y grows northwards."""
+    s = daily(spark, d)
+    lv = fit.return_levels(fits(ordinary(s)), PERIODS).withColumn("_ny", extent(s)[2])
     di = F.array_position(F.array(*map(F.lit, DURATIONS)), F.col("duration")) - 1
     ri = F.array_position(F.array(*map(F.lit, PERIODS)), F.col("return_period")) - 1
     name = F.concat(F.lit("RL_"), F.col("duration"), F.lit("h_"), F.col("return_period"), F.lit("yr"))
-    return rounded(lv.select((di * len(PERIODS) + ri).cast("int").alias("band"), name.alias("band_name"), (F.lit(ny - 1) - F.expr(f"cell div {NX}")).cast("int").alias("row"), (F.col("cell") % NX).alias("col"), "level"))
+    return rounded(lv.select((di * len(PERIODS) + ri).cast("int").alias("band"), name.alias("band_name"), (F.col("_ny") - 1 - F.expr(f"cell div {NX}")).cast("int").alias("row"), (F.col("cell") % NX).alias("col"), "level"))
 
 
 def q_fixed_point(spark: SparkSession, d: str) -> DataFrame:
     """Event depths in ten-thousandths, not divided by the duration."""
-    return ordinary(spark, d).select("cell", "duration", "s0", F.bround(F.col("total") / 1e6 * 10000).cast("bigint").alias("depth"))
+    return events(spark, d).select("cell", "duration", "s0", F.bround(F.col("total") / 1e6 * 10000).cast("bigint").alias("depth"))
 
 
 def civil_year(i: str):
@@ -207,7 +229,9 @@ def q_step_years(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_union(spark: SparkSession, d: str) -> DataFrame:
-    parts = [ordinary(spark, d).where(F.col("duration") == k).select("cell", "duration", "s0", "oe_i") for k in DURATIONS]
+    """Tables of single durations, put together again."""
+    e = events(spark, d)
+    parts = [e.where(F.col("duration") == k).select("cell", "duration", "s0", "oe_i") for k in DURATIONS]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -239,17 +263,26 @@ def q_ws1(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_metrics_tail(spark: SparkSession, d: str) -> DataFrame:
-    e = tail_events(spark, d).select("cell", "s0", "duration", "pctl_class", (F.col("s1") - F.col("s0") + 1).alias("storm_len"))
-    return rounded(metrics(spark, d).join(e, ["cell", "s0", "duration"]))
+    t, f = with_fields(spark, d, classes)
+    e = t.select("cell", "s0", "duration", "pctl_class", (F.col("s1") - F.col("s0") + 1).alias("storm_len"))
+    return rounded(spatial.metrics(f, ["cell", "s0"], 3).join(e, ["cell", "s0", "duration"]))
 
 
 def q_metrics_ams(spark: SparkSession, d: str) -> DataFrame:
-    m = maxima(spark, d)
-    e = m.select("cell", "s0", "y", "x", "duration", "oe_i")
-    f = spatial.fields(e, cube(spark, d), ["cell", "s0"], 3, DRIZZLE)
+    m, f = with_fields(spark, d, maxima)
     return rounded(spatial.metrics(f, ["cell", "s0"], 3).join(m.select("cell", "s0", "duration", "year"), ["cell", "s0", "duration"]))
 
 
+def q_rates(spark: SparkSession, d: str) -> DataFrame:
+    n, years = F.count("*"), F.countDistinct("year")
+    return rounded(events(spark, d).groupBy(*KEY).agg(n.alias("n"), years.alias("n_years"), (n / years).alias("per_year")))
+
+
+def q_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    e = events(spark, d)
+    return rounded(fit.bootstrap(e, fits(e), KEY, "year", "oe", PERIODS, NITER))
+
+
 def q_tail_means(spark: SparkSession, d: str) -> DataFrame:
     p = pairs(spark, d)
     return rounded(tails.cumulative_means(p, tails.thresholds_linear(p, KEY, "oe"), KEY, "oe", "pre"), 9)
@@ -268,33 +301,33 @@ def q_scaling(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "cube_dense": lambda s, d: cube(s, d),
+    "cube_dense": lambda s, d: cube(daily(s, d)),
     "areal_mean_ws2": lambda s, d: q_areal(s, d, 2),
     "areal_mean_ws3": lambda s, d: q_areal(s, d, 3),
     "areal_mean_edge_ws3": q_areal_edge,
     "grid_crop_odd": lambda s, d: q_grid_crop(s, d, 3),
     "grid_crop_even": lambda s, d: q_grid_crop(s, d, 2),
-    "storms_raw": lambda s, d: storms(s, d),
-    "storms_gt_zero": lambda s, d: storms(s, d, 0),
+    "storms_raw": lambda s, d: storms(sums(s, d)),
+    "storms_gt_zero": lambda s, d: storms(sums(s, d), 0),
     "storms_edges": q_storms_edges,
-    "storms_min_duration": lambda s, d: ev.longer_than(storms(s, d), 4),
+    "storms_min_duration": lambda s, d: ev.longer_than(storms(sums(s, d)), 4),
     "storms_gap_filtered": q_storms_gaps,
     "event_sessions_24h": q_sessions,
-    "ordinary_events": lambda s, d: rounded(ordinary(s, d).drop("key_no"), 8),
-    "annual_maxima": lambda s, d: rounded(maxima(s, d).select("cell", "duration", "year", "total", "s0", "oe", "oe_i"), 8),
+    "ordinary_events": lambda s, d: rounded(events(s, d).drop("key_no", "raster_no"), 8),
+    "annual_maxima": lambda s, d: rounded(maxima(events(s, d)).select("cell", "duration", "year", "total", "s0", "oe", "oe_i"), 8),
     "mean_annual_max": q_mean_maximum,
-    "events_per_year": lambda s, d: rounded(ordinary(s, d).groupBy(*KEY).agg(F.count("*").alias("n"), F.countDistinct("year").alias("n_years"), (F.count("*") / F.countDistinct("year")).alias("per_year"))),
+    "events_per_year": q_rates,
     "year_completeness": q_completeness,
     "complete_years": q_complete_years,
     "yearly_stats": q_yearly,
-    "weibull_fit": lambda s, d: rounded(fits(s, d)),
-    "weibull_fit_uncensored": lambda s, d: rounded(fits(s, d, 0)),
-    "return_levels": lambda s, d: rounded(fit.return_levels(fits(s, d), PERIODS).select(*KEY, "return_period", "level")),
+    "weibull_fit": lambda s, d: rounded(fits(events(s, d))),
+    "weibull_fit_uncensored": lambda s, d: rounded(fits(events(s, d), 0)),
+    "return_levels": lambda s, d: rounded(fit.return_levels(fits(events(s, d)), PERIODS).select(*KEY, "return_period", "level")),
     "fit_summary_wide": q_summary,
-    "bootstrap_ci_rel": lambda s, d: rounded(fit.bootstrap(ordinary(s, d), fits(s, d), KEY, "year", "oe", PERIODS, NITER)),
-    "bootstrap_ci_seeded": lambda s, d: fit.seeded_bootstrap(ordinary(s, d), KEY, "year", "oe", ["key_no"], PERIODS, NITER),
-    "thresholds_higher": lambda s, d: tails.thresholds_higher(ordinary(s, d), KEY, "total"),
-    "thresholds_linear": lambda s, d: rounded(tails.thresholds_linear(ordinary(s, d), KEY, "oe"), 9),
+    "bootstrap_ci_rel": q_bootstrap,
+    "bootstrap_ci_seeded": lambda s, d: fit.seeded_bootstrap(events(s, d), KEY, "year", "oe", "raster_no", PERIODS, NITER),
+    "thresholds_higher": lambda s, d: tails.thresholds_higher(events(s, d), KEY, "total"),
+    "thresholds_linear": lambda s, d: rounded(tails.thresholds_linear(events(s, d), KEY, "oe"), 9),
     "tail_class": lambda s, d: tail_events(s, d).select("cell", "s0", "duration", "pctl_class"),
     "tail_means": q_tail_means,
     "event_field_mean": lambda s, d: rounded(fields(s, d).select("cell", "s0", "duration", "dy", "dx", (F.col("f").cast("double") / (F.col("duration") * 1e6)).alias("f")), 8),
@@ -324,10 +357,10 @@ QUERIES = {
 
 _T = f"date_diff('day', date '{EPOCH}', cast(l_shipdate as date))"
 _YEAR = f"cast(year(date '{EPOCH}' + {{}}) as integer)"
-_SUMS = f"sums as (select cast(l_suppkey as integer) as cell, cast({_T} as integer) as t, cast(sum(cast(round(l_extendedprice * 100) as bigint)) as bigint) as v, avg(l_quantity) as q from lineitem group by 1, 2)"
-_AXIS = "axis as (select min(t) as lo, max(t) as hi, max(cell) // 5 + 1 as ny from sums)"
-_DAYS = "days as (select cell, cast(unnest(range(lo, hi + 1)) as integer) as t from (select distinct cell from sums), axis)"
-_CUBE = "cube as (select d.cell, cast(d.cell // 5 as integer) as y, d.cell % 5 as x, d.t, coalesce(s.v, 0) as v from days d left join sums s using (cell, t))"
+_SUMS = f"sums as materialized (select cast(l_suppkey as integer) as cell, cast({_T} as integer) as t, cast(sum(cast(round(l_extendedprice * 100) as bigint)) as bigint) as v, avg(l_quantity) as q from lineitem group by 1, 2)"
+_AXIS = "axis as materialized (select min(t) as lo, max(t) as hi, max(cell) // 5 + 1 as ny from sums)"
+_DAYS = "days as materialized (select cell, cast(unnest(range(lo, hi + 1)) as integer) as t from (select distinct cell from sums), axis)"
+_CUBE = "cube as materialized (select d.cell, cast(d.cell // 5 as integer) as y, d.cell % 5 as x, d.t, coalesce(s.v, 0) as v from days d left join sums s using (cell, t))"
 _BASE = ", ".join([_SUMS, _AXIS, _DAYS, _CUBE])
 
 
@@ -348,7 +381,7 @@ def _peaks() -> str:
       oe as (select r.cell, cast(r.cell // 5 as integer) as y, r.cell % 5 as x, duration, r.s0, s1,
         cast(case when s1 - r.s0 + 1 < duration then w.total else m end as bigint) as total,
         cast(case when s1 - r.s0 + 1 < duration then r.s0 + (s1 - r.s0 + 1) // 2 else t end as integer) as oe_i from ranked r join whole w on r.cell = w.cell and r.s0 = w.s0 where i = 1),
-      events_ as (select *, total::double / (duration * 1e6::double) as oe, {_YEAR.format("oe_i")} as year, cell * 10 + duration as key_no from oe)"""
+      events_ as materialized (select *, total::double / (duration * 1e6::double) as oe, {_YEAR.format("oe_i")} as year, cell * 10 + duration as key_no from oe)"""
 
 
 _EVENTS = ", ".join([_BASE, _storm(f"v >= {WET}"), _peaks()])
@@ -369,14 +402,14 @@ _LEVELS = f"{_FITS}, levels as (select *, {_LEVEL} as level from (select *, unne
 _HIGHER = ", ".join(f"max(case when i = 1 + ((n - 1) * {p} + 99) // 100 then total end) as t{p}" for p in tails.PERCENTS)
 _TAIL = f"""{_EVENTS}, sorted as (select *, row_number() over (partition by cell, duration order by total) as i, count(*) over (partition by cell, duration) as n from events_),
   higher as (select cell, duration, {_HIGHER} from sorted group by cell, duration),
-  tail as (select e.*, case when total >= t99 then 99 when total >= t95 then 95 when total >= t90 then 90 when total >= t85 then 85 end as pctl_class
+  tail as materialized (select e.*, case when total >= t99 then 99 when total >= t95 then 95 when total >= t90 then 90 when total >= t85 then 85 end as pctl_class
     from events_ e join higher using (cell, duration) where total >= t85)"""
 
 
 def _fields(source: str) -> str:
     return f"""offs as (select unnest(range(-1, 2)) as o),
       asked as (select e.cell, s0, duration, dy.o as dy, dx.o as dx, oe_i, y + dy.o as yy, x + dx.o as xx from {source} e, offs dy, offs dx),
-      field as (select a.cell, s0, duration, dy, dx, sum(case when v >= {DRIZZLE} then v else 0 end)::bigint as f from asked a join cube c
+      field as materialized (select a.cell, s0, duration, dy, dx, sum(case when v >= {DRIZZLE} then v else 0 end)::bigint as f from asked a join cube c
         on c.y = yy and c.x = xx and c.t between oe_i - duration // 2 and oe_i + (duration - 1) // 2 group by all)"""
 
 
@@ -391,16 +424,24 @@ _METRICS = """full_ as (select *, count(*) over w as n, sum(f) over w as tot, ma
 _SPATIAL = ", ".join([_TAIL, _fields("tail"), _METRICS])
 _PAIRS = f"""{_EVENTS}, qfill as (select d.cell, d.t, last_value(q ignore nulls) over (partition by d.cell order by d.t rows unbounded preceding) as q from days d left join sums s using (cell, t)),
   qpre as (select cell, t, case when count(q) over w = {PRE} then avg(q) over w end as pre from qfill window w as (partition by cell order by t range between {PRE} preceding and 1 preceding)),
-  pairs as (select e.*, pre from events_ e join qpre p on e.cell = p.cell and e.oe_i = p.t where pre is not null)"""
+  pairs as materialized (select e.*, pre from events_ e join qpre p on e.cell = p.cell and e.oe_i = p.t where pre is not null)"""
 _AREAL = """select cell, t, case when n = {k} then round(s::double / {k}.0::double / 1e6::double, 8) end as mean from (select c.cell, c.t,
   sum(b.v) as s, count(b.v) as n from cube c join cube b on b.t = c.t and b.y between c.y - {a} and c.y + {b} and b.x between c.x - {a} and c.x + {b} group by c.cell, c.t)"""
 _STATIONS = "stations as (select s_suppkey, 46.0::double + 0.0275::double * (s_suppkey % 12) + s_nationkey * 0.001::double as lat, 10.0::double + 0.0275::double * (s_suppkey % 14) + 0.001::double as lon from supplier)"
 _NEAR = "greatest(0, least({n} - 1, cast(ceil(({c} - {o}::double) / 0.05::double - 0.5::double) as integer)))"
+_ROUND = "select * replace ((xor(h, h >> 16) * {m}) & {w} as h) from {{}}".format(m=fit.ROUND, w=fit.WORD)
+
+
+def _stirred(name: str, source: str) -> str:
+    return f"{name}_1 as ({_ROUND.format(source)}), {name}_2 as ({_ROUND.format(name + '_1')}), {name} as (select * replace (xor(h, h >> 16) as h) from {name}_2)"
+
+
 _DRAWS = f"""blocks as (select distinct cell, duration, key_no, year from events_),
-  numbered as (select *, row_number() over (partition by cell, duration order by year) - 1 as b, count(*) over (partition by cell, duration) as nb from blocks),
-  draws as (select cell, duration, it, (((it::bigint * 7919 + b::bigint * 104729 + key_no::bigint * 1299709 + 12345) * 48271) % 2147483647) % nb as b
-    from (select *, unnest(range(0, {NITER})) as it from numbered)),
-  drawn as (select d.cell, d.duration, d.it, e.oe from draws d join numbered n on n.cell = d.cell and n.duration = d.duration and n.b = d.b
+  numbered as materialized (select *, row_number() over (partition by cell, duration order by year) - 1 as b, count(*) over (partition by cell, duration) as nb from blocks),
+  keyed as (select cell, duration, nb, b, (key_no::bigint * {fit.SPREAD[0]}) & {fit.WORD} as h from numbered), {_stirred("by_key", "keyed")},
+  tries as (select * replace ((h + (it + 1)::bigint * {fit.SPREAD[1]}) & {fit.WORD} as h) from (select *, unnest(range(0, {NITER})) as it from by_key)), {_stirred("by_try", "tries")},
+  slots as (select * replace ((h + (b + 1)::bigint * {fit.SPREAD[2]}) & {fit.WORD} as h) from by_try), {_stirred("by_slot", "slots")},
+  drawn as (select d.cell, d.duration, d.it, e.oe from by_slot d join numbered n on n.cell = d.cell and n.duration = d.duration and n.b = d.h % d.nb
     join events_ e on e.cell = n.cell and e.duration = n.duration and e.year = n.year)"""
 
 _CAL_DAY = "((({i}) * time_res_min // 60) // 24)"
@@ -430,16 +471,18 @@ SQL = {
     "storms_min_duration": f"with {_SUMS}, {_storm(f'v >= {WET}')} select * from storm where s1 - s0 + 1 >= 4",
     "storms_gap_filtered": f"""with {_SUMS}, {_storm(f'v >= {WET} and t not between {GAP[0] + 1} and {GAP[1] - 1}')}
       select * from storm s where not exists (select 1 from storm_wet w where w.cell = s.cell and w.t between s.s0 and s.s1
-        and ((w.t >= {GAP[1] - SEP} and w.t < {GAP[1]}) or (w.t >= {GAP[0]} and w.t < {GAP[0] + SEP})))""",
+        and ((w.t >= {GAP[0] - SEP} and w.t < {GAP[0]}) or (w.t >= {GAP[1]} and w.t < {GAP[1] + SEP})))""",
     "event_sessions_24h": """with e as (select user_id, epoch_us(ts) as us from events where ts is not null),
       m as (select *, case when us - lag(us) over (partition by user_id order by us) <= 86400000000 then 0 else 1 end as fresh from e),
       n as (select *, sum(fresh) over (partition by user_id order by us rows unbounded preceding) as no from m)
       select user_id, min(us) as start_us, max(us) as end_us, count(*) as n_events from n group by user_id, no""",
     "ordinary_events": f"with {_EVENTS} select cell, y, x, duration, s0, s1, total, round(oe, 8) as oe, oe_i, year from events_",
     "annual_maxima": f"with {_EVENTS}, r as (select *, row_number() over (partition by cell, duration, year order by total desc, s0) as i from events_) select cell, duration, year, total, s0, round(oe, 8) as oe, oe_i from r where i = 1",
-    "mean_annual_max": f"with {_EVENTS}, m as (select cell, duration, year, max(oe) as oe from events_ group by all) select cell, duration, round(avg(oe), 6) as mam from m group by all",
+    "mean_annual_max": f"with {_EVENTS}, m as (select cell, duration, year, max(total) as total from events_ group by all) select cell, duration, round(sum(total)::bigint::double / (count(*) * duration * 1e6::double), 6) as mam from m group by cell, duration",
     "events_per_year": f"with {_EVENTS} select cell, duration, count(*) as n, count(distinct year) as n_years, round(count(*) / count(distinct year)::double, 6) as per_year from events_ group by all",
     "year_completeness": f"with {_SUMS} select cell, {_YEAR.format('t')} as year, count(v) as n_valid, round(count(v) / 365.0::double, 6) as share, count(v) / 365.0::double >= 0.5 as complete from sums group by 1, 2",
+    "complete_years": f"""with {_BASE}, y as (select *, {_YEAR.format('t')} as year from cube), n as (select *, count(v) over (partition by cell, year) / 365.0::double as share from y)
+      select cell, y, x, t, v, year from n where share >= 1 - {config.DEFAULTS['tolerance']}::double""",
     "yearly_stats": f"with {_BASE}, p as (select *, {_YEAR.format('t')} as year, case when v > 0 then v / 1e6::double end as p from cube) select cell, year, cast(sum(v) as bigint) as total, round(avg(p), 9) as mean, round(stddev_samp(p), 6) as sd, count(p) as n_wet from p group by cell, year",
     "weibull_fit": f"with {_FITS} select cell, duration, n, n_used, round(shape, 6) as shape, round(scale, 6) as scale, round(per_year, 6) as per_year from fits",
     "weibull_fit_uncensored": f"with {_EVENTS}, {_fit('events_', 'cell, duration', 'fit', 0)}, {_RATE} select cell, duration, n, n_used, round(shape, 6) as shape, round(scale, 6) as scale, round(per_year, 6) as per_year from fit join rate using (cell, duration)",
@@ -469,6 +512,8 @@ SQL = {
     "scaling_rates": "with t as (select model, duration_h, ln(oe::double) as y, t_pre24::double as x from tail_temp join sim_run using (run_id) where t_pre24 is not null and not isnan(t_pre24) and oe > 0), s as (select model, duration_h, regr_slope(y, x) as b, regr_intercept(y, x) as a, count(*) as n_events from t group by all having count(*) >= 50) select model, duration_h, round((exp(b) - 1) * 100, 3) as \"slope_pct_K\", round(a, 5) as intercept, n_events from s",
     "raster_bands": f"with {_LEVELS} select cast((case duration when 1 then 0 when 3 then 1 else 2 end) * 6 + list_position({PERIODS}, return_period) - 1 as integer) as band, 'RL_' || duration || 'h_' || return_period || 'yr' as band_name, cast(ny - 1 - cell // 5 as integer) as row, cell % 5 as col, round(level, 6) as level from levels, axis",
     "calendar_years": f"select run_id, cal_name, {_calendar('0')} as first_year, {_calendar('n_steps - 1')} as last_year from sim_run",
+    "calendar_step_years": f"""with s as (select distinct run_id, t_i from pr_hourly where t_i is not null)
+      select run_id, t_i, cal_name, {_calendar('t_i')} as year from s left join sim_run using (run_id)""",
     "union_parts": f"with {_EVENTS} select cell, duration, s0, oe_i from events_",
     "fixed_point_depth": f"with {_EVENTS} select cell, duration, s0, cast(round_even(total / 1e6::double * 10000, 0) as bigint) as depth from events_",
 }

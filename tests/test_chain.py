@@ -39,11 +39,9 @@ def test_peaks_match_convolution(rows):
             want[cell, k] = (int(s.max()), int(s.argmax())) if n >= k else (int(v.sum()), n // 2)
     inside = ev.in_storms(rows(data, "cell int, t int, v int"), ["cell"], F.col("v") >= 1, 100)
     got = {(r["cell"], r["duration"]): (r["total"], r["oe_i"]) for r in ev.peaks(inside, ["cell"], [1, 3, 4, 6]).collect()}
-    # even frames reach k/2 back and k/2 - 1 ahead
     for key, (m, at) in want.items():
         assert got[key][0] == m, key
-        if key[1] % 2:
-            assert got[key][1] == at, key
+        assert got[key][1] == at, key
 
 
 def test_separation_equality_stays_together(rows):
@@ -51,10 +49,38 @@ def test_separation_equality_stays_together(rows):
     assert sorted((r["s0"], r["s1"]) for r in ev.storms(wet, ["cell"], 3).collect()) == [(0, 3), (7, 7)]
 
 
-def test_gap_filter_is_half_open(rows):
-    wet = rows([(1, 5), (1, 20), (2, 10), (3, 17), (4, 19)], "cell int, t int")
-    left = ev.away_from_gaps(ev.storms(wet, ["cell"], 3), wet, [(10, 20)], ["cell"], 3)
-    assert sorted((r["cell"], r["s0"]) for r in left.collect()) == [(1, 5), (1, 20)]
+def test_gap_filter_against_the_axis(rows):
+    """Storms of single series on an axis with two holes, by numpy: a storm goes if one of its wet steps lies in a guard before or after a hole."""
+    rng, sep, gaps = np.random.default_rng(9), 3, [(29, 41), (60, 70)]
+    axis = np.array([t for t in range(100) if not (29 < t < 41 or 60 < t < 70)])
+    data, want = [], set()
+    for cell in range(40):
+        wet = np.sort(rng.choice(axis, 14, replace=False))
+        data += [(cell, int(t)) for t in wet]
+        for s in np.split(wet, np.flatnonzero(np.diff(wet) > sep) + 1):
+            guards = [t for a, b in gaps for t in (*range(a - sep, a), *range(b, b + sep))]
+            if not np.intersect1d(s, guards).size:
+                want.add((cell, int(s[0]), int(s[-1])))
+    wet = rows(data, "cell int, t int")
+    every = ev.storms(wet, ["cell"], sep)
+    left = {(r["cell"], r["s0"], r["s1"]) for r in ev.away_from_gaps(every, wet, gaps, ["cell"], sep).collect()}
+    assert left == want and len(want) < every.count()
+    alone = rows([(1, 29), (2, 28), (3, 26), (4, 25), (5, 41), (6, 43), (7, 44)], "cell int, t int")
+    assert sorted(r["cell"] for r in ev.away_from_gaps(ev.storms(alone, ["cell"], sep), alone, gaps[:1], ["cell"], sep).collect()) == [1, 4, 7]
+
+
+def test_draws_are_those_of_a_bootstrap():
+    """Counts of a block vary as with replacement, and as many distinct blocks come up."""
+    for blocks in (3, 5, 7, 10, 20, 40):
+        times = np.zeros((40_000, blocks))
+        np.add.at(times, (np.arange(40_000)[:, None], np.concatenate([fit.mixed_draws(key, blocks, 1000) for key in range(11, 411, 10)])), 1)
+        assert abs(times.var() - (1 - 1 / blocks)) < 0.02
+        assert abs((times > 0).sum(axis=1).mean() - blocks * (1 - (1 - 1 / blocks) ** blocks)) < 0.02 * blocks**0.5
+        # neighbouring iterations and slots know nothing of each other
+        draws = fit.mixed_draws(5, blocks, 20_000)
+        same = 1 / blocks
+        for a, b in ((draws[1:], draws[:-1]), (draws[:, 1:], draws[:, :-1]), (draws, fit.mixed_draws(6, blocks, 20_000))):
+            assert abs((a == b).mean() - same) < 0.02
 
 
 def test_fit_edges(rows):
@@ -67,15 +93,47 @@ def test_fit_edges(rows):
     assert abs(g["shape"] - 0.7) < 0.08
 
 
+def brute_seeded(x, year, seed, periods, niter):
+    """The seeded estimator sample by sample: as many columns of numbers as samples, one row a block."""
+    names = np.unique(year)
+    per_year, levels = len(x) / len(names), np.full((niter, len(periods)), np.nan)
+    draws = np.random.default_rng(np.random.SeedSequence(seed)).integers(0, len(names), size=(len(names), niter))
+    for it in range(niter):
+        s = np.sort(np.concatenate([x[year == names[b]] for b in draws[:, it]]))
+        n = len(s)
+        a = int(np.floor(n * 0.85))
+        a = 0 if a <= 1 else a
+        if n - a < 2:
+            continue
+        u, v = np.log(np.log(1 / (1 - np.arange(a + 1, n + 1) / (n + 1)))), np.log(s[a:])
+        slope = np.cov(u, v, bias=True)[0, 1] / u.var()
+        levels[it] = [np.exp(v.mean() - slope * u.mean()) * (-np.log(1 - (1 - 1 / p) ** (1 / per_year))) ** slope for p in periods]
+    return np.nanpercentile(levels, [5, 95], axis=0)
+
+
 def test_seeded_bootstrap_invariants(rows):
+    periods = [2, 5, 10, 20, 50, 100]
+    for seed, years, per_year, shape, scale in ((1, 10, 20, 0.5, 2), (2, 20, 15, 0.9, 8), (3, 45, 60, 0.7, 5), (4, 12, 100, 1.2, 3)):
+        rng = np.random.default_rng(seed)
+        x, y = rng.weibull(shape, years * per_year) * scale, np.repeat(np.arange(1990, 1990 + years), per_year)
+        got = fit.seeded_interval(x, y, [0, 17], periods, 60)
+        assert np.allclose(got, brute_seeded(x, y, [0, 17], periods, 60), rtol=1e-5)
+    rng = np.random.default_rng(7)
+    y = np.concatenate([np.full(int(rng.integers(5, 80)), t) for t in range(1990, 2020)])
+    x = rng.weibull(0.7, len(y)) * 5
+    assert np.allclose(fit.seeded_interval(x, y, [3, 4], periods, 60), brute_seeded(x, y, [3, 4], periods, 60), rtol=1e-5)
     rng = np.random.default_rng(21)
     x, y = rng.weibull(0.7, 40 * 50) * 5, np.repeat(np.arange(1980, 2020), 50)
-    a = fit.seeded_interval(x, y, [7, 1], [2, 5, 10, 50], 200)
-    assert (a[0] <= a[1]).all() and (np.diff(a, axis=1) > 0).all() and a.dtype == np.float32
-    assert (fit.seeded_interval(x, y, [7, 1], [2, 5, 10, 50], 200) == a).all()
-    assert (fit.seeded_interval(x, y, [7, 2], [2, 5, 10, 50], 200) != a).any()
+    a = fit.seeded_interval(x, y, [7, 1], periods, 400)
+    assert a.shape == (2, 6) and (a[0] <= a[1]).all() and (np.diff(a, axis=1) > 0).all() and a.dtype == np.float32
+    assert (fit.seeded_interval(x, y, [7, 1], periods, 400) == a).all() and (fit.seeded_interval(x, y, [7, 2], periods, 400) != a).any()
+    fitted = fit.weibull_fit(rows([("a", float(v)) for v in x], "k string, x double"), ["k"], "x").withColumn("per_year", F.lit(50.0))
+    point = [r["level"] for r in fit.return_levels(fitted, periods).orderBy("return_period").collect()]
+    assert (a[0] < point).all() and (point < a[1]).all()
     assert fit.seeded_interval(np.array([3.0]), np.array([2000]), [1], [2], 10) is None
     assert fit.seeded_interval(np.array([]), np.array([]), [1], [2], 10) is None
+    # equal values have slope 0: every level is the value
+    assert np.allclose(fit.seeded_interval(np.full(40, 4.0), np.repeat([1, 2], 20), [1], [2, 50], 10), 4.0)
 
 
 def test_thresholds_higher_match_numpy(rows):
@@ -123,17 +181,15 @@ def test_bootstrap_queries_draw_as_often_as_the_settings(spark):
 
     niter = config.DEFAULTS["uncertainty"]["niter"]
     assert niter == 1000
-    e = reference.ordinary(spark, DATA).select("cell", "duration", "year", "oe", "key_no").toPandas()
+    e = reference.events(spark, DATA).select("cell", "duration", "year", "oe", "key_no", "raster_no").toPandas()
     rel = reference.QUERIES["bootstrap_ci_rel"](spark, DATA).toPandas().set_index(["cell", "duration", "return_period"])
     seeded = reference.QUERIES["bootstrap_ci_seeded"](spark, DATA).toPandas().set_index(["cell", "duration", "return_period"])
     for (cell, duration), g in list(e.groupby(["cell", "duration"]))[:4]:
         x, year, no = g["oe"].to_numpy(), g["year"].to_numpy(), int(g["key_no"].iloc[0])
         nb = len(np.unique(year))
-        draws = [[(it * 7919 + slot * 104729 + no * 1299709 + 12345) * 48271 % 2147483647 % nb for slot in range(nb)] for it in range(niter)]
-        want = np.percentile(brute_levels(x, year, draws, len(x) / nb, reference.PERIODS), [5, 95], axis=0)
+        want = np.percentile(brute_levels(x, year, fit.mixed_draws(no, nb, niter), len(x) / nb, reference.PERIODS), [5, 95], axis=0)
         assert np.allclose(rel.loc[cell, duration].loc[reference.PERIODS, ["lo", "hi"]].T, want, atol=2e-6)
-        draws = np.random.default_rng(np.random.SeedSequence([7, no])).integers(0, nb, (niter, nb))
-        want = np.percentile(brute_levels(x, year, draws, len(x) / nb, reference.PERIODS), [5, 95], axis=0)
+        want = brute_seeded(x, year, [0, int(g["raster_no"].iloc[0])], reference.PERIODS, niter)
         assert np.allclose(seeded.loc[cell, duration].loc[reference.PERIODS, ["lo", "hi"]].T, want, rtol=1e-5)
 
 
