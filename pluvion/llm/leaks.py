@@ -1,9 +1,13 @@
 """Passages of evaluation items in the corpus (problem 8).
 
-Wu and Manber's multi-pattern search over words: the patterns are the windows of ``WINDOW`` words that few items share. A table over pairs of words says
-how far the search may jump from a pair that ends nowhere in a pattern; where it may not jump, the bucket of patterns with that last pair is compared
-word by word. A confirmed occurrence is a seed. Where the seeds of an item in a document lie close enough for a passage, a local alignment of
-the words counts what stands there of the item's own content, so that single altered, added or lost words do not break a passage.
+Wu and Manber's multi-pattern search over words: the patterns are the windows of ``WINDOW`` words of an item that hold words of its own. A hashed table
+of fixed size over pairs of words says how far the search may jump from a pair that ends nowhere in a pattern; where it may not jump, the bucket of
+patterns with that hash is looked up and compared word by word. A confirmed occurrence is a seed; around the seeds of an item in a document a local
+alignment of the words decides.
+
+How much a word of an item is its own follows from all items: the chance of the word given its neighbours, as counted in the other items, is near one for
+the words of a sentence form and small for the words that fill it. Items that share most of their running dozens of words are one group, so that
+near-duplicates do not make each other's content common. In the alignment a word counts ``FORM`` plus the rest of one by its weight.
 """
 
 from collections import Counter, defaultdict
@@ -17,99 +21,187 @@ from pyspark.sql import functions as F
 from pluvion.llm.texts import words
 from pluvion.sources.tables import table
 
-#: Words of a pattern and of a block of the shift table.
-WINDOW, BLOCK = 4, 2
-#: A window that more items have is phrasing, not an item's content. Four words of a sentence form recur; a passage has many rarer windows.
-SHARED = 3
-#: Score of the alignment: +1 for a word, and these; a passage scores at least ``LEAST``: a dozen words running over what a sentence form gives alone.
-MISMATCH, GAP, LEAST = -2.0, -1.5, 17.0
-#: Words of an unbroken exact run that are a passage by themselves; exact runs of sentence forms reached 9.
-EXACT = 12
-#: Seeds that a passage of that score must have, and words between seeds of one passage.
-SEEDS, NEAR = 3, 40
-#: Items searched for in one pass over the corpus; more are searched in blocks.
-BLOCK_ITEMS = 5000
+#: Words of a pattern and of a block of the shift table, and cells of that table.
+WINDOW, BLOCK, CELLS = 4, 2, 1 << 20
+#: The dozen: words that a passage spans at least.
+DOZEN = 12
+#: Score of a matched word that belongs to a form alone; of an altered one (and its weight's share); of an added or lost one.
+FORM, ALTERED, ALTERED_OWN, GAP = 0.2, -0.5, -1.5, -1.0
+#: Score of a passage; weight of its own words; weights under the last count as none.
+LEAST, OWN, FAINT = 5.0, 2.5, 0.25
+#: Own weight of a window that is a pattern, and of all windows of an item near each other that call for an alignment. Both lie well under what a passage has.
+PATTERN_OWN, NEAR_OWN = 1.25, 1.5
+#: Words between seeds of one passage, and words looked at beyond the outermost seeds.
+NEAR, BEYOND = 40, 16
+#: Words of items searched for in one pass over the corpus; more take further passes. Size of the whole item table, in characters, beyond which it is refused.
+PASS_WORDS, MOST_TEXT = 4_000_000, 1 << 30
 #: Words of a lane of the search.
 LANE = 1024
+#: Neighbours that a word is predicted from, by their distance.
+NEIGHBOURS = [(-1,), (1,), (-2,), (2,), (-3,), (3,), (-2, -1), (1, 2), (-1, 1)]
 
 
-def windows(ws: list[str]) -> list[tuple[str, ...]]:
-    return list(zip(*(ws[j:] for j in range(WINDOW))))
+def own_words(items: list[tuple[int, str | None]]) -> list[tuple[int, list[str]]]:
+    """The words of each item without an opening that it shares with others. Items of equal words count once."""
+    distinct = {" ".join(words(t)): t for _, t in items}
+    heads = Counter(" ".join(words((t or "").split("\n\n", 1)[0])) for t in distinct.values())
+    out = []
+    for i, t in items:
+        head, _, rest = (t or "").partition("\n\n")
+        out.append((i, words(rest if heads[" ".join(words(head))] > 1 and rest.strip() else t)))
+    return out
 
 
-def shared_windows(texts: list[list[str]]) -> set[tuple[str, ...]]:
-    """Windows that more than ``SHARED`` texts hold."""
-    held = Counter(w for ws in texts for w in set(windows(ws)))
-    return {w for w, n in held.items() if n > SHARED}
+def groups_of(texts: list[list[str]]) -> list[int]:
+    """A group number for each text: texts with half of their running dozens in common are near-duplicates. One pass; each dozen points to its first holder."""
+    group, first, number = list(range(len(texts))), {}, []
+
+    def root(n: int) -> int:
+        while group[n] != n:
+            group[n] = group[group[n]]
+            n = group[n]
+        return n
+
+    for n, ws in enumerate(texts):
+        dozens = {hash(tuple(ws[p : p + DOZEN])) for p in range(max(1, len(ws) - DOZEN + 1))}
+        number.append(len(dozens))
+        holders = Counter(first[d] for d in dozens if d in first)
+        for d in dozens:
+            first.setdefault(d, n)
+        for m, shared in holders.items():
+            if 2 * shared >= max(number[n], number[m]):
+                group[root(n)] = root(m)
+    return [root(n) for n in range(len(texts))]
+
+
+def own_weights(texts: list[list[str]]) -> list[np.ndarray]:
+    """For each word of each text, 1 less its greatest chance given some neighbours, as the texts of other groups have it. Neighbours that others lack say nothing."""
+
+    def places(ws: list[str]) -> Iterator[tuple[int, int, tuple, str]]:
+        for kind, offsets in enumerate(NEIGHBOURS):
+            for p in range(max(0, -min(offsets)), len(ws) - max(0, *offsets)):
+                yield p, kind, (kind, *[ws[p + o] for o in offsets]), ws[p]
+
+    around, both = Counter(), Counter()
+    members = defaultdict(list)
+    for n, g in enumerate(groups_of(texts)):
+        members[g].append(n)
+    for ws in texts:
+        for _, _, near, w in places(ws):
+            around[near] += 1
+            both[near, w] += 1
+    out = [np.zeros(0)] * len(texts)
+    for ns in members.values():
+        here, here_both = Counter(), Counter()
+        for n in ns:
+            for _, _, near, w in places(texts[n]):
+                here[near] += 1
+                here_both[near, w] += 1
+        for n in ns:
+            chance = np.zeros(len(texts[n]))
+            for p, _, near, w in places(texts[n]):
+                chance[p] = max(chance[p], (both[near, w] - here_both[near, w]) / (around[near] - here[near] + 2))
+            out[n] = np.where(1 - chance < FAINT, 0.0, 1 - chance)
+    return out
 
 
 class Patterns:
-    """Tables of the search for one block of items. ``phrasing``: windows that are no item's own, by default those of these items."""
-
-    def __init__(self, items: list[tuple], phrasing: set[tuple[str, ...]] | None = None) -> None:
-        if phrasing is None:
-            phrasing = shared_windows([ws for _, ws in items])
-        vocabulary: dict[str, int] = {}
-        self.items = [(i, np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in ws], dtype=np.int64)) for i, ws in items]
-        self.vocabulary, self.v = vocabulary, len(vocabulary) + 1
+    """Tables of the search for some items: (names, words, weights of the words)."""
+
+    def __init__(self, items: list[tuple]) -> None:
+        self.vocabulary: dict[str, int] = {}
+        self.items = []
         places = defaultdict(list)
-        for n, ((_, ids), (_, ws)) in enumerate(zip(self.items, items)):
-            own = [p for p, w in enumerate(windows(ws)) if w not in phrasing]
-            # an item that would have too few to be found keeps all of its windows
-            for p in own if len(own) >= SEEDS else range(len(ids) - WINDOW + 1):
-                places[self.key(ids[p : p + WINDOW])].append((n, p))
-        self.keys = np.array(sorted(places), dtype=np.int64)
-        self.places = [places[k] for k in sorted(places)]
-        far = WINDOW - BLOCK + 1
-        self.shift = np.full(self.v**BLOCK, far, dtype=np.int8)
-        for at in self.places:
-            n, p = at[0]
-            w = self.items[n][1][p : p + WINDOW]
-            for end in range(BLOCK - 1, WINDOW):
-                b = w[end - 1] * self.v + w[end]
-                self.shift[b] = min(self.shift[b], WINDOW - 1 - end)
-
-    def key(self, w: np.ndarray) -> int:
-        """Last pair first, so that equal suffixes stand together; all words are in it, so equal keys are equal words."""
-        return int(((w[2] * self.v + w[3]) * self.v + w[0]) * self.v + w[1])
+        for n, (name, ws, weights) in enumerate(items):
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws], dtype=np.int64)
+            self.items.append((name, ids, np.asarray(weights, float)))
+            # an item without a window of its own is held by all of its windows
+            own = np.convolve(weights, np.ones(WINDOW), "valid") if len(ids) >= WINDOW else np.empty(0)
+            for p in np.flatnonzero(own >= PATTERN_OWN) if (own >= PATTERN_OWN).any() else range(len(own)):
+                places[tuple(ids[p : p + WINDOW].tolist())].append((n, int(p)))
+        self.words = np.array(sorted(places), dtype=np.int64).reshape(-1, WINDOW)
+        # equal hashes of different windows would hide one of them, so another multiplier is taken until there are none
+        for self.multiplier in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5):
+            hashes = self.hashed([self.words[:, j] for j in range(WINDOW)])
+            if len(np.unique(hashes)) == len(hashes):
+                break
+        order = np.argsort(hashes)
+        self.keys, self.words = hashes[order], self.words[order]
+        self.places = [places[tuple(w)] for w in self.words.tolist()]
+        self.shift = np.full(CELLS, WINDOW - BLOCK + 1, dtype=np.int8)
+        for end in range(BLOCK - 1, WINDOW):
+            np.minimum.at(self.shift, self.cell(self.words[:, end - 1], self.words[:, end]), WINDOW - 1 - end)
+
+    def hashed(self, columns: list[np.ndarray]) -> np.ndarray:
+        h = np.zeros(len(columns[0]), dtype=np.uint64)
+        for c in columns:
+            h = (h ^ c.astype(np.uint64)) * np.uint64(self.multiplier)
+            h ^= h >> np.uint64(29)
+        return h
+
+    @staticmethod
+    def cell(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The cell of a pair of words. Pairs that share one jump as short as the shorter needs."""
+        return ((a * 2654435761 + b * 40503) >> 7) & (CELLS - 1)
 
     def search(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ends of the occurrences in a run of word numbers, and the patterns that stand there. All lanes jump side by side."""
+        """Ends of the occurrences in a run of word numbers, in order, and the patterns that stand there. All lanes jump side by side."""
         if len(ids) < WINDOW or not len(self.keys):
             return np.empty(0, np.int64), np.empty(0, np.int64)
         at = np.arange(WINDOW - 1, len(ids), LANE)
         stop = np.minimum(at + LANE, len(ids))
         found = []
         while len(at):
-            jump = self.shift[ids[at - 1] * self.v + ids[at]]
+            jump = self.shift[self.cell(ids[at - 1], ids[at])]
             found.append(at[jump == 0])
             at = at + np.maximum(jump, 1)
             live = at < stop
             at, stop = at[live], stop[live]
-        ends = np.concatenate(found)
-        w = [ids[ends - WINDOW + 1 + j] for j in range(WINDOW)]
-        keys = ((w[2] * self.v + w[3]) * self.v + w[0]) * self.v + w[1]
-        pattern = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        same = self.keys[pattern] == keys
-        return ends[same], pattern[same]
+        ends = np.sort(np.concatenate(found))
+        columns = [ids[ends - WINDOW + 1 + j] for j in range(WINDOW)]
+        bucket = np.minimum(np.searchsorted(self.keys, self.hashed(columns)), len(self.keys) - 1)
+        same = (self.words[bucket] == np.stack(columns, axis=1)).all(axis=1)
+        return ends[same], bucket[same]
 
 
-def best_alignment(doc: np.ndarray, item: np.ndarray) -> float:
+def best_score(doc: np.ndarray, item: np.ndarray, weights: np.ndarray) -> float:
     """Score of the best local alignment of two runs of words."""
     row, best = np.zeros(len(item) + 1), 0.0
     ramp = -GAP * np.arange(len(item) + 1)
+    matched, altered = FORM + (1 - FORM) * weights, ALTERED + ALTERED_OWN * weights
     for w in doc:
-        step = np.where(item == w, 1.0, MISMATCH)
         new = np.maximum(row + GAP, 0.0)
-        new[1:] = np.maximum(new[1:], row[:-1] + step)
+        new[1:] = np.maximum(new[1:], row[:-1] + np.where(item == w, matched, altered))
         row = np.maximum.accumulate(new + ramp) - ramp
         best = max(best, row.max())
     return float(best)
 
 
-def longest_run(doc: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]]) -> int:
-    """Words of the longest unbroken exact run with a seed in it."""
-    best, reach = 0, {}
+def has_passage(doc: np.ndarray, item: np.ndarray, weights: np.ndarray) -> bool:
+    """Whether some alignment has the score, spans a dozen words of the item and holds enough of its own. Stretches are told apart by their last word."""
+    n = len(item)
+    score, first, own = np.zeros(n + 1), np.arange(n + 1), np.zeros(n + 1)
+    matched, altered = FORM + (1 - FORM) * weights, ALTERED + ALTERED_OWN * weights
+    for w in doc:
+        same = item == w
+        down, step = score + GAP, score[:-1] + np.where(same, matched, altered)
+        new, start, sum_ = np.maximum(down, 0.0), np.where(down > 0, first, np.arange(n + 1)), np.where(down > 0, own, 0.0)
+        better = step > new[1:]
+        new[1:], start[1:] = np.where(better, step, new[1:]), np.where(better, first[:-1], start[1:])
+        sum_[1:] = np.where(better, own[:-1] + np.where(same, weights, 0.0), sum_[1:])
+        lost = np.flatnonzero(new[:-1] + GAP > new[1:])
+        while len(lost):  # words of the item that the document lacks
+            new[lost + 1], start[lost + 1], sum_[lost + 1] = new[lost] + GAP, start[lost], sum_[lost]
+            lost = np.flatnonzero(new[:-1] + GAP > new[1:])
+        score, first, own = new, start, sum_
+        if ((score[1:] >= LEAST) & same & (np.arange(1, n + 1) - first[1:] >= DOZEN) & (own[1:] >= OWN)).any():
+            return True
+    return False
+
+
+def exact_dozen(doc: np.ndarray, item: np.ndarray, weights: np.ndarray, seeds: list[tuple[int, int]]) -> bool:
+    """Whether an unbroken exact run with a seed in it is a dozen words long and holds enough of the item's own."""
+    reach = {}
     for d, i in seeds:
         if d < reach.get(d - i, 0):
             continue
@@ -119,58 +211,64 @@ def longest_run(doc: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]])
         while d + b < len(doc) and i + b < len(item) and doc[d + b] == item[i + b]:
             b += 1
         reach[d - i] = d + b
-        best = max(best, a + b)
-    return best
+        if a + b >= DOZEN and weights[i - a : i + b].sum() >= OWN:
+            return True
+    return False
 
 
-def leaked(doc: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]]) -> bool:
+def leaked(doc: np.ndarray, item: np.ndarray, weights: np.ndarray, seeds: list[tuple[int, int]]) -> bool:
     """Whether a passage of the item stands in the document. ``seeds``: (place in the document, place in the item), by the former."""
-    groups: list[list[tuple[int, int]]] = []
+    near: list[list[tuple[int, int]]] = []
     for s in seeds:
-        if groups and s[0] - groups[-1][-1][0] <= NEAR:
-            groups[-1].append(s)
+        if near and s[0] - near[-1][-1][0] <= NEAR:
+            near[-1].append(s)
         else:
-            groups.append([s])
-    for g in groups:
-        if len(g) < SEEDS:
+            near.append([s])
+    for g in near:
+        covered = np.unique([i + j for _, i in g for j in range(WINDOW)])
+        if weights[covered].sum() < NEAR_OWN:
             continue
-        if longest_run(doc, item, g) >= EXACT:
+        if exact_dozen(doc, item, weights, g):
             return True
-        lo, hi = max(0, g[0][0] - len(item)), g[-1][0] + WINDOW + len(item)
-        lo, hi = max(lo, g[0][0] - NEAR), min(hi, g[-1][0] + WINDOW + NEAR)
-        if best_alignment(doc[lo:hi], item) >= LEAST:
+        lo, hi = max(0, g[0][0] - BEYOND), g[-1][0] + WINDOW + BEYOND
+        a, b = max(0, int(covered[0]) - BEYOND), int(covered[-1]) + 1 + BEYOND
+        part = doc[lo:hi], item[a:b], weights[a:b]
+        if best_score(*part) >= LEAST and has_passage(*part):
             return True
     return False
 
 
-def own_words(items: list[tuple[int, str | None]]) -> list[tuple[int, list[str]]]:
-    """The words of each item without an opening that it shares with others. Items of equal words count once."""
-    distinct = {" ".join(words(t)): t for _, t in items}
-    heads = Counter(" ".join(words((t or "").split("\n\n", 1)[0])) for t in distinct.values())
-    out = []
-    for i, t in items:
-        head, _, rest = (t or "").partition("\n\n")
-        out.append((i, words(rest if heads[" ".join(words(head))] > 1 and rest.strip() else t)))
+def passes(items: list[tuple[int, str | None]]) -> list[list[tuple]]:
+    """Items of equal own words together, as (names, words, weights), in parts of ``PASS_WORDS`` words. Weights come from all items, whatever part they fall into."""
+    same = defaultdict(list)
+    for i, ws in own_words(items):
+        same[tuple(ws)].append(i)
+    texts = [list(ws) for ws in same]
+    out, held = [[]], 0
+    for ids, ws, weights in zip(same.values(), texts, own_weights(texts)):
+        if held and held + len(ws) > PASS_WORDS:
+            out.append([])
+            held = 0
+        out[-1].append((ids, ws, weights))
+        held += len(ws)
     return out
 
 
 def leaks(docs: DataFrame, items: list[tuple[int, str | None]], key: str, text: str) -> DataFrame:
     """key, item_id: one row per document and item with a passage of the item's own content.
 
-    Whole texts are searched. Items of equal own words are searched for once; what is phrasing is counted over all items, whatever block they fall into. NULL and empty texts hold nothing; rows with equal keys and passages give one row each; an item of fewer than twelve
-    words of its own cannot leak.
+    A passage spans a dozen words of the item at least: an unbroken exact run, or a run with altered, added or lost words whose score and own words suffice.
+    Whole texts are searched, in one pass unless the items hold over ``PASS_WORDS`` words. The result for an item depends on other items only by what they
+    say about its words. NULL and empty texts hold nothing; rows with equal keys and passages give one row each; an item of fewer than a dozen words
+    cannot leak. Where an altered word is one that fills a sentence form, twelve words of that form alone look like another item's and are no passage.
     """
     schema = f"{key} {dict(docs.dtypes)[key]}, item_id int"
     found = []
-    same = defaultdict(list)
-    for i, ws in own_words(items):
-        same[tuple(ws)].append(i)
-    prepared = [(ids, list(ws)) for ws, ids in same.items()]
-    phrasing = shared_windows([ws for _, ws in prepared])
-    for block in [prepared[i : i + BLOCK_ITEMS] for i in range(0, len(prepared), BLOCK_ITEMS)] or [[]]:
+    for part in passes(items):
+        shared = docs.sparkSession.sparkContext.broadcast(Patterns(part))
 
-        def search(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
-            patterns = Patterns(block, phrasing)
+        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            patterns = shared.value
             number = patterns.vocabulary.get
             for b in batches:
                 ids, starts = [], [0]
@@ -180,15 +278,14 @@ def leaks(docs: DataFrame, items: list[tuple[int, str | None]], key: str, text:
                     starts.append(len(ids))
                 ids, starts = np.array(ids, dtype=np.int64), np.array(starts)
                 ends, pattern = patterns.search(ids)
-                order = np.argsort(ends, kind="stable")
                 seeds = defaultdict(list)
-                for doc, end, p in zip(np.searchsorted(starts, ends[order], "right") - 1, ends[order], pattern[order]):
+                for doc, end, p in zip(np.searchsorted(starts, ends, "right") - 1, ends, pattern):
                     for item, place in patterns.places[p]:
                         seeds[doc, item].append((int(end) - WINDOW + 1 - int(starts[doc]), place))
                 rows = [
                     (b[key].iloc[doc], i)
                     for (doc, item), s in seeds.items()
-                    if len(s) >= SEEDS and leaked(ids[starts[doc] : starts[doc + 1] - 1], patterns.items[item][1], s)
+                    if leaked(ids[starts[doc] : starts[doc + 1] - 1], patterns.items[item][1], patterns.items[item][2], s)
                     for i in patterns.items[item][0]
                 ]
                 yield pd.DataFrame(rows, columns=[key, "item_id"]).astype({"item_id": "int32"})
@@ -200,10 +297,17 @@ def leaks(docs: DataFrame, items: list[tuple[int, str | None]], key: str, text:
     return out
 
 
+def item_texts(spark: SparkSession, sf_dir: str) -> list[tuple[int, str | None]]:
+    """The stated query set. Its size is asked first: a table that no driver should read is refused."""
+    items = table(spark, sf_dir, "eval_item").where(F.col("item_id").isNotNull())
+    size = items.agg(F.sum(F.length("item_text"))).first()[0] or 0
+    if size > MOST_TEXT:
+        raise ValueError(f"eval_item holds {size} characters, over the {MOST_TEXT} that a query set may have")
+    return [(r["item_id"], r["item_text"]) for r in items.select("item_id", "item_text").orderBy("item_id").toLocalIterator()]
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The items are the stated query set (a fixed table); they are read by the driver and searched for in blocks."""
-    items = [(r["item_id"], r["item_text"]) for r in table(spark, sf_dir, "eval_item").select("item_id", "item_text").orderBy("item_id").toLocalIterator()]
-    return leaks(table(spark, sf_dir, "documents"), items, "doc_id", "text").distinct()
+    return leaks(table(spark, sf_dir, "documents"), item_texts(spark, sf_dir), "doc_id", "text").distinct()
 
 
 def p8_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from pluvion.llm.leaks import Patterns, best_alignment, leaks, own_words
+from pluvion.llm.leaks import WINDOW, Patterns, best_score, has_passage, leaks, own_weights, own_words
 from pluvion.llm.texts import words
 
 VOCAB = [a + b for a, b in itertools.product("bcdfghjklm", ["aro", "eni", "ulo", "osti", "ima", "andu"])]
@@ -16,23 +16,37 @@ def passage(rng, n):
 
 def test_search_equals_brute_force():
     rng = random.Random(1)
-    items = [(i, passage(rng, 40).split()) for i in range(12)]
+    items = [(i, passage(rng, 40).split(), np.ones(40)) for i in range(12)]
     p = Patterns(items)
     text = [w for i in range(60) for w in (passage(rng, 30).split() + items[i % 12][1][i % 30 : i % 30 + 9])]
     ids = np.array([p.vocabulary.get(w, 0) for w in text])
     ends, pattern = p.search(ids)
-    keys = {int(k): n for n, k in enumerate(p.keys)}
-    want = {(e, keys[p.key(ids[e - 3 : e + 1])]) for e in range(3, len(ids)) if p.key(ids[e - 3 : e + 1]) in keys and 0 not in ids[e - 3 : e + 1]}
+    known = {tuple(w): n for n, w in enumerate(p.words.tolist())}
+    want = {(e, known[tuple(ids[e - 3 : e + 1])]) for e in range(3, len(ids)) if tuple(ids[e - 3 : e + 1]) in known}
     assert set(zip(ends.tolist(), pattern.tolist())) == want and len(want) > 300
+    # the tables keep their size, however many words there are
+    many = Patterns([(i, [f"w{i}x{j}" for j in range(60)], np.ones(60)) for i in range(1500)])
+    assert len(many.shift) == len(p.shift) and len(many.keys) == 1500 * (60 - WINDOW + 1)
 
 
 def test_alignment():
-    a = np.arange(1, 31)
-    assert best_alignment(a, a) == 30
-    assert best_alignment(np.delete(a, 15), a) == 29 - 1.5
+    a, one = np.arange(1, 31), np.ones(30)
+    assert best_score(a, a, one) == 30
+    assert best_score(np.delete(a, 15), a, one) == 29 - 1
     b = a.copy()
     b[15] = 99
-    assert best_alignment(b, a) == 29 - 2
+    assert best_score(b, a, one) == 29 - 2
+    assert has_passage(b, a, one) and has_passage(np.delete(a, 15), a, one) and has_passage(np.insert(a, 9, 77), a, one)
+    assert not has_passage(a[:11], a, one) and not has_passage(a, a, np.zeros(30))
+
+
+def test_words_of_a_form_weigh_nothing():
+    rng = random.Random(4)
+    form = lambda: f"suppose {rng.choice(VOCAB)} workers {rng.choice(VOCAB)} the {rng.choice(VOCAB)} at once which of them can still be {rng.choice(VOCAB)}".split()
+    w = own_weights([form() for _ in range(40)])
+    assert all((x[[0, 2, 4, 6, 7, 8, 9, 10, 11, 12, 13]] == 0).all() and (x[[1, 3, 5, 14]] > 0.6).all() for x in w)
+    alike = passage(rng, 60)
+    assert all((x > 0.99).all() for x in own_weights([f"{alike} {passage(rng, 5)}".split() for _ in range(5)]))
 
 
 def test_found_altered_and_not_found(rows):
@@ -68,30 +82,47 @@ def test_words():
     assert words("<p>Bee­hive s​its</p>") == ["beehive", "sits"] and words(None) == []
 
 
-def test_short_exact_passages(rows):
+def test_dozen_to_twenty_words_exact_and_altered(rows):
     rng = random.Random(5)
-    items = [(i, passage(rng, 60)) for i in range(4)] + [(4, passage(rng, 14))]
+    items = [(i, passage(rng, 60)) for i in range(30)] + [(40, passage(rng, 14))]
     own = dict(own_words(items))
-    altered = own[3][10:24]
-    altered[7] = "other"
-    docs = [
-        (1, f"{passage(rng, 30)} {' '.join(own[0][20:32])} {passage(rng, 30)}"), (2, f"{passage(rng, 30)} {' '.join(own[1][20:31])} {passage(rng, 30)}"),
-        (3, f"{passage(rng, 9)} {' '.join(own[4])}"), (4, f"{' '.join(own[2][:16])}"), (5, f"{passage(rng, 30)} {' '.join(altered)} {passage(rng, 30)}"),
-    ]
+    docs, want = [(900, f"{passage(rng, 30)} {' '.join(own[1][20:31])} {passage(rng, 30)}"), (901, f"{passage(rng, 9)} {' '.join(own[40])}")], [(901, 40)]
+    for n in range(12, 21):
+        for i, change in enumerate(("exact", "altered", "lost", "added")):
+            part = own[n][15 : 15 + n]
+            if change == "altered":
+                part[n // 2] = "other"
+            if change == "lost":
+                del part[n // 2]
+            if change == "added":
+                part.insert(n // 2, "more")
+            docs.append((n * 10 + i, f"{passage(rng, 30)} {' '.join(part)} {passage(rng, 30)}"))
+            want.append((n * 10 + i, n))
     got = sorted((r["doc_id"], r["item_id"]) for r in leaks(rows(docs, "doc_id long, text string"), items, "doc_id", "text").collect())
-    assert got == [(1, 0), (3, 4), (4, 2)]
+    assert got == sorted(want)
 
 
 def test_items_that_share_all_they_have(rows, monkeypatch):
-    """The same item under five suites, an item made of parts of others, and phrasing that is counted over all blocks."""
+    """The same item under five suites, five near-duplicates, an item made of parts of others, and a form that many have; the same in one pass and in many."""
     from pluvion.llm import leaks as module
 
-    monkeypatch.setattr(module, "BLOCK_ITEMS", 2)
     rng = random.Random(6)
-    copied, parts, form = f"{passage(rng, 20)}\n\n{passage(rng, 40)}", [passage(rng, 15) for _ in range(2)], passage(rng, 14)
+    copied, body, parts, form = f"{passage(rng, 20)}\n\n{passage(rng, 40)}", passage(rng, 60), [passage(rng, 15) for _ in range(2)], passage(rng, 14)
     items = [(i, copied) for i in range(5)] + [(5, " ".join(parts))] + [(6 + i, f"{passage(rng, 30)} {' '.join(parts)} {passage(rng, 30)}") for i in range(4)]
-    items += [(20 + i, f"{passage(rng, 30)} {form} {passage(rng, 30)}") for i in range(6)]
-    docs = [(1, f"{passage(rng, 30)} {copied}"), (2, f"{passage(rng, 30)} {' '.join(parts)} {passage(rng, 30)}"), (3, f"{passage(rng, 30)} {form} {passage(rng, 30)}")]
-    got = sorted((r["doc_id"], r["item_id"]) for r in leaks(rows(docs, "doc_id long, text string"), items, "doc_id", "text").collect())
-    assert got == [(1, i) for i in range(5)] + [(2, 5)]
+    items += [(20 + i, f"{passage(rng, 30)} {form} {passage(rng, 30)}") for i in range(12)] + [(40 + i, f"{passage(rng, 8)} {body}") for i in range(5)]
+    docs = [(1, f"{passage(rng, 30)} {copied}"), (3, f"{passage(rng, 30)} {form} {passage(rng, 30)}"), (4, f"{passage(rng, 9)} {' '.join(body.split()[20:34])}")]
+    found = []
+    for most in (4_000_000, 100):
+        monkeypatch.setattr(module, "PASS_WORDS", most)
+        found.append(sorted((r["doc_id"], r["item_id"]) for r in leaks(rows(docs, "doc_id long, text string"), items, "doc_id", "text").collect()))
+    assert found[0] == [(1, i) for i in range(5)] + [(4, 40 + i) for i in range(5)] and found[1] == found[0]
     assert all(len(ws) == 60 for i, ws in own_words(items) if i < 5)
+
+
+def test_ten_thousand_items(rows):
+    rng = random.Random(7)
+    items = [(i, passage(rng, 40)) for i in range(10_000)]
+    own = dict(own_words(items[:20]))
+    docs = [(i, f"{passage(rng, 20)} {' '.join(own[i][9 : 21 + i])} {passage(rng, 20)}") for i in range(16)]
+    got = {(r["doc_id"], r["item_id"]) for r in leaks(rows(docs, "doc_id long, text string"), items, "doc_id", "text").collect()}
+    assert got == {(i, i) for i in range(16)}
