@@ -1,4 +1,9 @@
-from pluvion.operators.units import converted, number_and_rest, unit_of
+from datetime import datetime, timedelta
+
+import numpy as np
+
+from pluvion.operators import units
+from pluvion.operators.units import converted, ends_of_parts, moves, number_and_rest, summed, unit_of
 
 READ = "rec_id long, source string, var_name string, cell_id int, ts timestamp, val double, val_text string, units string, remark string, said string"
 SRC = "source string, title string, pr_units string, tas_units string, attr_text string"
@@ -39,5 +44,50 @@ def test_unlabelled_source_is_decoded_from_its_values(rows):
     assert {r["unit"] for r in converted(rows(data, READ), src).where("source = 'a'").collect()} == {"kg/m2/s"}
 
 
+def test_tree_gives_the_path_of_viterbi():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 7, 64, 101):
+        score, move = rng.normal(scale=4, size=(n, 4)), moves(4)
+        best, back = score[0].copy(), np.zeros((n, 4), int)
+        for t in range(1, n):
+            step = best[:, None] + move
+            back[t], best = step.argmax(axis=0), step.max(axis=0) + score[t]
+        want = [int(best.argmax())]
+        for t in range(n - 1, 0, -1):
+            want.append(int(back[t, want[-1]]))
+        leaves = np.full((n, 4, 4), -np.inf)
+        leaves[:, np.arange(4), np.arange(4)] = score
+        tree = summed(leaves, move)
+        first, last = np.unravel_index(tree[-1][0].argmax(), (4, 4))
+        i, j = ends_of_parts(tree, move, first, last)
+        assert (i == want[::-1]).all() and (i == j).all() and abs(tree[-1][0].max() - best.max()) < 1e-9
+
+
+def test_path_does_not_depend_on_the_cuts(rows, monkeypatch):
+    """A device that switches its unit for some weeks and back, among labelled readings in other units and readings without a time."""
+    rng = np.random.default_rng(4)
+    start = datetime(2001, 1, 1)
+    data, want = [], {}
+    for i in range(400):
+        mm, unit = float(rng.lognormal(0.3, 0.7)), "mm/day" if 150 <= i < 220 else "mm/h"
+        shown, label = (mm * 24 if unit == "mm/day" else mm), None
+        if i % 9 == 4:
+            shown, label, unit = mm / 25.4, "in/h", "in/h"
+        data.append((i, "a", "pr", 1, start + timedelta(hours=5 * i), shown, None, label, None, "x"))
+        want[i] = unit
+    data += [(1000 + i, "a", "pr", 2, None, 1.5, None, None, None, "x") for i in range(30)]
+    data += [(2000 + i, "b", "pr", 3, start + timedelta(days=i % 365), float(rng.lognormal(0.3, 0.7)), None, "mm/h", None, "x") for i in range(1500)]
+    src = rows([("a", "", "mm/h", None, None), ("b", "", None, None, None)], SRC)
+    found = []
+    for n in (4000, 60, 7):
+        monkeypatch.setattr(units, "STRETCH_ROWS", n)
+        found.append({r["rec_id"]: r["unit"] for r in converted(rows(data, READ), src).collect()})
+    assert found[1] == found[0] and found[2] == found[0]
+    wrong = [i for i in want if found[0][i] != want[i]]
+    # at the two switches some readings fit both units
+    assert len(wrong) <= 6 and all(145 <= i < 225 for i in wrong)
+    assert all(found[0][1000 + i] == "mm/h" for i in range(30))
+
+
 def test_empty(rows):
     assert converted(rows([], READ), rows([], SRC)).count() == 0
