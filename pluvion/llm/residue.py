@@ -1,10 +1,10 @@
 """Template residue, filler, error pages and script notices in place of content (problem 9).
 
-Labelled exemplars of residue are indexed by their words. A document is split into its message and its diff; each is unwrapped into passages
-(sentences), and for every passage the index retrieves the exemplars that share words with it. The passage's containment in an exemplar is the share of
-its TF-IDF weight that the exemplar's words cover; document frequencies are those of the whole corpus. A part of a document is residue when passages
-of high containment cover nearly all of its weight. Template fields are read as one word of its own; a passage with a field is held against exemplars
-of filled-in-later forms and of sentences about fields, and is residue unless one of the latter covers it better.
+Labelled exemplars of residue, ``EXEMPLARS``, are indexed by their words. A document is split into its message and its diff; each is unwrapped into passages
+(sentences), and windows of ``WINDOW`` words are moved over each passage. For every window the index retrieves the exemplars that share words with it. The
+window's containment in an exemplar is the share of its TF-IDF weight that the exemplar's words cover; document frequencies are those of the whole corpus. A
+part of a document is residue when windows of high containment cover nearly all of its weight. Template fields are read as one word of its own, digits and
+pseudo-Latin words too; a window with a field is held against forms to be filled in, and against sentences that talk about fields.
 """
 
 import math
@@ -15,167 +15,126 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvion.llm.texts import INVISIBLE
+from pluvion.llm.texts import INVISIBLE, TAG
 from pluvion.sources.tables import table
 
-#: Labelled exemplars.
-PAGES = """
-HTTP 9
-HTTP error 9
-9 Page not found
-Page not found
-Bad request
-Gone
-Bad gateway
-Gateway timed out
-Too many requests
-Sign-in needed
-Access denied
-Forbidden
-Unauthorized
-Service unavailable
-Internal server error
-9 Bad request
-9 Gone
-9 Bad gateway
-9 Gateway timed out
-9 Too many requests
-9 Sign-in needed
-9 Access denied
-9 Service unavailable
-9 Internal server error
-error
-status 9
-detail
-Oops! Something went wrong on our side.
-Sorry, you have been rate limited.
-Traceback (most recent call last): render(commit)
-RenderTimeout: could not render this page
-TemplateFault: could not render this page
-BackendGone: could not render this page
-Try again in a few minutes.
-If this keeps happening, contact the site owner.
-Your session has ended, log in again.
-The upstream did not answer in time.
-The diff service is down for maintenance.
-We could not load this commit.
-Reference: idtoken
-Seite nicht gefunden. Bitte prüfen Sie die Adresse.
-Zeitüberschreitung des Servers. Der Server antwortet nicht.
-Page introuvable. Revenez à l'accueil.
-Le serveur n'a pas répondu à temps. Délai d'attente dépassé.
-Página no encontrada. Vuelva al inicio.
-Se agotó el tiempo de espera del servidor.
-Der Dienst ist vorübergehend nicht erreichbar.
-Le service est indisponible pour le moment.
-Страница не найдена. Проверьте адрес. Вернитесь на главную.
-Сервер не ответил вовремя.
-""".strip().split("\n")
-NOTICES = """
-Checking your browser before opening the repository...
-Our code browser requires JavaScript and cookies.
-Our code browser needs JavaScript to run.
-Our code browser works only with scripts switched on.
-Our code browser depends on JavaScript, which your browser has disabled.
-Our code browser cannot be shown because scripts are blocked.
-The diff viewer requires JavaScript and cookies.
-The diff viewer needs JavaScript to run.
-The diff viewer works only with scripts switched on.
-The diff viewer depends on JavaScript, which your browser has disabled.
-The diff viewer cannot be shown because scripts are blocked.
-The commit view requires JavaScript and cookies.
-The commit view needs JavaScript to run.
-The commit view works only with scripts switched on.
-The commit view depends on JavaScript, which your browser has disabled.
-The commit view cannot be shown because scripts are blocked.
-This site page requires JavaScript and cookies.
-This site page needs JavaScript to run.
-This site page works only with scripts switched on.
-This site page depends on JavaScript, which your browser has disabled.
-This site page cannot be shown because scripts are blocked.
-You need to enable JavaScript to run this app.
-Please enable scripts and refresh.
-Turn it on and reload.
-Allow scripts for this host to continue.
-Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen.
-Diese Ansicht braucht aktivierte Skripte.
-Activez JavaScript pour voir cette page.
-Cette vue exige que les scripts soient autorisés.
-Active JavaScript para ver este cambio.
-Esta vista necesita que los scripts estén permitidos.
-Включите JavaScript, чтобы увидеть страницу.
-Для просмотра нужны включённые скрипты.
-""".strip().split("\n")
-FILLER = """
-Text goes here
-Heading one
-Heading two
-Paragraph one.
-Paragraph two.
-Sample text. Placeholder text. Insert text here.
+#: The labelled sample, one exemplar a line. Pages, notices and filler stand for content that is not there; forms are to be filled in; mentions
+#: talk about fields; doodles are filler where there are three words at least. The sample is bounded by being written out here.
+EXEMPLARS = {
+    "page": """
+HTTP status 9 error 9 detail bad request, gone, not found, page not found, bad gateway, gateway timed out, gateway timeout, too many requests, forbidden, unauthorized
+Access denied. Sign-in needed. Sign in to continue. Login required. 9 forbidden unauthorized HTTP error status detail
+9 Service unavailable. Service temporarily unavailable. Internal server error. Bad gateway. nginx apache cloudflare openresty varnish HTTP error status
+Oops! Something went wrong on our side. Whoops, looks like something went wrong. An unexpected error occurred. Please try again later.
+Sorry, you have been rate limited. Too many requests. Slow down and try again in a few minutes.
+Traceback (most recent call last): render(commit) RenderTimeout TemplateFault BackendGone: could not render this page
+Try again in a few minutes. If this keeps happening, contact the site owner or administrator. Reference: idtoken
+Your session has ended, log in again. Your session has expired, please sign in again. Access denied.
+The upstream did not answer in time. The server did not respond in time. The request timed out. The connection timed out.
+The diff service is down for maintenance. The site is temporarily down for scheduled maintenance, please check back later.
+We could not load this commit. We could not load or show this page, file, diff. Failed to load. Reload the page.
+Error establishing a database connection. Could not connect to the database server.
+The page you are looking for does not exist, was moved or removed. The page you requested could not be found. Sorry, this page is not available.
+The requested URL was not found on this server. The requested resource could not be found. You do not have permission to access this resource on this server.
+This site can't be reached. This page isn't working. The connection was reset. Check your connection.
+Application error: an exception has occurred, see the browser console for more information.
+Checking your browser before opening the repository... Verifying that you are human. Just a moment, please wait.
+Seite nicht gefunden. Bitte prüfen Sie die Adresse. Zeitüberschreitung des Servers. Der Server antwortet nicht. Der Dienst ist vorübergehend nicht erreichbar.
+Page introuvable. Revenez à l'accueil. Le serveur n'a pas répondu à temps. Délai d'attente dépassé. Le service est indisponible pour le moment.
+Página no encontrada. Vuelva al inicio. Se agotó el tiempo de espera del servidor. El servicio no está disponible en este momento.
+Страница не найдена. Проверьте адрес. Вернитесь на главную. Сервер не ответил вовремя. Сервис временно недоступен.
+""",
+    "notice": """
+Our code browser, the diff viewer, the commit view, this site, this page, this app requires JavaScript and cookies, needs JavaScript to run
+Our code browser, the diff viewer, the commit view, this site page, works only with scripts switched on
+Our code browser, the diff viewer, the commit view, this site page, depends on JavaScript, which your browser has disabled
+Our code browser, the diff viewer, the commit view, this site page, cannot be shown because scripts are blocked
+You need to enable JavaScript to run this app. Please enable JavaScript to continue, to view or use this page, site, application. JavaScript is required.
+Please enable scripts and refresh. Please turn it on, turn JavaScript on, allow scripts and reload the page. Allow scripts for this host to continue.
+JavaScript is disabled or not supported in your browser. Please enable it, and cookies, in your browser settings and try again.
+Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen. Diese Ansicht braucht aktivierte Skripte.
+Activez JavaScript pour voir cette page. Cette vue exige que les scripts soient autorisés.
+Active JavaScript para ver este cambio, esta página. Esta vista necesita que los scripts estén permitidos.
+Включите JavaScript, чтобы увидеть страницу. Для просмотра нужны включённые скрипты.
+""",
+    "filler": """
+Text goes here. Your text here. Some text to be written. Content to follow. Sample text. Placeholder text. Insert text here. Lorem ipsum
+Heading one. Heading two. Paragraph one. Paragraph two.
+This is only sample wording to fill the space. This text is a placeholder, to be replaced later.
+TODO: describe your changes here. Please describe the change. Add a description. Enter a title, message or summary here. Write something.
 asdf qwe zxc rty fghj jkl vbnm qwerty asdfgh
-This is only sample wording to fill the space.
-Your text here
-Some text to be written
-Content to follow
-Hier steht bald ein Text
-Texte à venir
-Texto de relleno
-""".strip().split("\n")
-#: Words that are filler where one of them stands alone, over and over.
-REPEATED = ["aaa bar baz bla blah foo qwer test xxx zzz"]
-#: The syllables of pseudo-Latin. Its exemplar is the rule that a word is made of them.
-SYLLABLES = "lorem ipsum dolor sit amet consectetur cons adip elit sed tempor temp inc incididunt ut labore lab et dol dolore mag magna aliqua ali enim ven veniam quis qua nost nostrud ull ullamco lor ect ectetur iscing a or um is es us e i o".split()
-#: Forms with fields to be filled in, and sentences about fields or pages.
-FORMS = """
+Hier steht bald ein Text. Hier folgt der Text.
+Texte à venir. Insérer le texte ici.
+Texto de relleno. Escriba el texto aquí.
+latinword lorem ipsum dolor sit amet consectetur elit sed ut et in
+""",
+    "form": """
 ticket field
 owner field
 reported in field by field
 see field and field for details
 hello field, please look at field before field
-reviewed-by: field
-issue: field
-field: field
-release field of
 closes field, requested by field
+release field of
 sync to field
+label field
 field
-""".strip().split("\n")
-MENTIONS = """
+""",
+    "mention": """
 escape field in the mail template
 read field from the environment
 rename field in the template
 document the field placeholder
 replace field with
-""".strip().split("\n")
+""",
+    "doodle": """
+aaa bar baz bla blah foo qwer test xxx zzz
+""",
+}
+#: The syllables of pseudo-Latin.
+SYLLABLES = "lorem ipsum dolor sit amet consectetur cons adip elit sed tempor temp inc incididunt ut labore lab et dol dolore mag magna aliqua ali enim ven veniam quis qua nost nostrud ull ullamco lor ect ectetur iscing a or um is es us e i o".split()
 #: How an unfilled field is written.
 FIELD = re.compile(
-    r"\{\{\s*[\w.]+\s*\}\}|\$\{\w+\}|#\{[\w.]+\}|%\(\w+\)s|<%=?\s*\w+\s*%>|<!--[^<>]{0,80}?-->|<(?:insert|your|enter|add|describe) [\w ]+>|<[A-Z_]{3,}>"
+    r"\{\{\s*[\w.]+\s*\}\}|\$\{\w+\}|#\{[\w.]+\}|%\(\w+\)s|<%=?\s*\w+\s*%>|<!--[^<>]*?-->|<(?:insert|your|enter|add|describe) [\w ]+>|<[A-Z_]{3,}>"
     r"|\[[\w ]+ (?:goes )?here\]|\[(?:YOUR|your|insert|INSERT) [\w ]+\]|__[A-Z]{3,}__|@@[A-Z]{3,}@@|(?<![{$#\w])\{[a-z_]{3,}\}"
 )
-#: Containment of a passage, and share of a part's weight that such passages must cover.
+#: Words of a window.
+WINDOW = 8
+#: Containment of a window, and share of a part's weight that such windows must cover.
 CONTAINMENT, COVERAGE = 0.8, 0.85
-
-#: Words of six letters or more made of syllables alone that make a part pseudo-Latin; times that a filler word alone must stand.
-LATIN_WORDS, REPEATS = 3, 3
+#: Containment of a window in a form that has words of its own and stands whole in the window, with other words in between.
+FILLED = 0.45
+#: Words of six letters or more made of syllables alone that make a part pseudo-Latin; words of a doodle.
+LATIN_WORDS, DOODLE = 3, 3
+#: What stands for content that is not there.
+RESIDUE = ("page", "notice", "filler")
 
 _FEATURE = re.compile(r"\w+")
-_TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,80}>")
+_REFERENCE = re.compile(r"\b[Rr]eference: \w+")
+#: Up to four words, a colon, a dash or the end of bold type, and nothing but fields after it.
+_LABEL = re.compile(r"\W*\w+(?:[ \t'-]+\w+){0,3}\s*(?::|[-\u2013\u2014](?=\s)|\*\*:?|__:?)[\s*_:]*(?:\x02[\s,.]*)+")
 _PICKED = re.compile(r"(?m)^\s*\(cherry picked from commit [0-9a-f]+\)\s*$")
 _MOJIBAKE = re.compile("[ÃÂÐÑ]")
 _LATIN = re.compile("(?:" + "|".join(sorted(SYLLABLES, key=len, reverse=True)) + ")+")
 
 
-def features(passage: str) -> list[str]:
-    """Lower-case words; digits are one word, and so is a long mixed token after "Reference"."""
-    t = re.sub(r"(?i)\breference: \w+", "reference idtoken", passage)
-    return ["9" if w.isdigit() else w for w in _FEATURE.findall(t.lower())]
+def features(passage: str, latin: bool = False) -> list[str]:
+    """Lower-case words; a field, digits and, where the part is pseudo-Latin, words of syllables are one word each, and so is a long mixed token after "Reference"."""
+    t = _REFERENCE.sub("reference idtoken", passage)
+    t = "label \x02" if "\x02" in t and _LABEL.fullmatch(t) else t
+    t = (t.replace("\x02", " \u0192field ") if "\x02" in t else t).lower()
+    fs = ["9" if w.isdigit() else w for w in _FEATURE.findall(t)]
+    return ["latinword" if latin and _LATIN.fullmatch(w) else w for w in fs]
 
 
 def exemplars() -> list[tuple[str, frozenset[str]]]:
-    """Label and words of every exemplar."""
-    kinds = (("residue", PAGES + NOTICES + FILLER), ("form", FORMS), ("mention", MENTIONS), ("repeat", REPEATED))
-    return [(label, frozenset(features(t))) for label, texts in kinds for t in texts]
+    """Label and words of every exemplar. In a form or a mention the word "field" is a field."""
+    out = []
+    for label, texts in EXEMPLARS.items():
+        for t in texts.strip().split("\n"):
+            t = re.sub(r"\bfield\b", "\x02", t) if label in ("form", "mention") else t
+            out.append((label, frozenset(features(t))))
+    return out
 
 
 def vocabulary() -> list[str]:
@@ -225,69 +184,92 @@ def parts(text: str | None) -> tuple[str, str]:
 def passages(part: str) -> list[str]:
     """Sentences, whatever the line breaks. A blank line, a tag, a quoted string and a line that begins with a capital start a new one."""
     out = []
-    for paragraph in re.split(r"\n\s*\n|[\"{}]+", _TAG.sub("\n\n", part)):
-        joined = re.sub(r"\s*\n\s*(?=[A-ZА-Я<{*#-])", "\u0001", paragraph.strip())
+    for paragraph in re.split(r"\n\s*\n|[\"{}]+", TAG.sub("\n\n", part)):
+        joined = re.sub(r"\s*\n\s*(?=[A-ZА-Я<{*#\x02-])", "\u0001", paragraph.strip())
         out += re.split(r"\u0001|(?<=[.!?…])\s+", re.sub(r"\s+", " ", joined))
     return [p for p in out if p.strip()]
 
 
+def windows(fs: list[str]) -> list[tuple[int, list[str]]]:
+    """Every stretch of ``WINDOW`` words with its place; a shorter passage is one window."""
+    return [(i, fs[i : i + WINDOW]) for i in range(max(1, len(fs) - WINDOW + 1))]
+
+
 class Index:
     """Inverted index of the exemplars, with the weights of their words."""
 
     def __init__(self, weights: dict[str, float], unseen: float) -> None:
         self.exemplars, self.weights, self.unseen = exemplars(), weights, unseen
+        self.whole = [sum(map(self.weight, ws)) for _, ws in self.exemplars]
         self.postings: dict[str, list[int]] = {}
         for n, (_, ws) in enumerate(self.exemplars):
             for w in ws:
                 self.postings.setdefault(w, []).append(n)
+        self.known = {labels: {w for label, ws in self.exemplars if label in labels for w in ws} for labels in (RESIDUE, ("doodle",))}
 
     def weight(self, w: str) -> float:
         return self.weights.get(w, self.unseen)
 
-    def containment(self, fs: list[str], labels: tuple[str, ...]) -> float:
-        """The greatest share of a passage's weight that one exemplar of the labels covers."""
+    def containments(self, window: list[str]) -> dict[int, float]:
+        """The share of a window's weight that each exemplar covers, of those that share a word with it."""
         score: dict[int, float] = {}
         total = 0.0
-        for w in fs:
+        for w in window:
             x = self.weight(w)
             total += x
             for n in self.postings.get(w, ()):
-                if self.exemplars[n][0] in labels:
-                    score[n] = score.get(n, 0.0) + x
-        return max(score.values()) / total if score else 0.0
+                score[n] = score.get(n, 0.0) + x
+        return {n: x / total for n, x in score.items()}
+
+    def best(self, window: list[str], labels: tuple[str, ...]) -> float:
+        return max((x for n, x in self.containments(window).items() if self.exemplars[n][0] in labels), default=0.0)
+
+    def may_be(self, fs: list[str], labels: tuple[str, ...]) -> bool:
+        """Whether the known words weigh enough: without that no windows can be contained and cover as much as is asked for."""
+        known, get = self.known[labels], self.weights.get
+        return sum(get(w, self.unseen) for w in fs if w in known) >= CONTAINMENT * COVERAGE * sum(get(w, self.unseen) for w in fs)
+
+    def covered(self, parts: list[list[str]], labels: tuple[str, ...]) -> bool:
+        """Whether windows contained in exemplars of the labels cover nearly all of the weight of the passages."""
+        total = weight = 0.0
+        for fs in parts:
+            total += sum(map(self.weight, fs))
+            reach = 0
+            for i, f in windows(fs):
+                if f and self.best(f, labels) >= CONTAINMENT:
+                    weight += sum(map(self.weight, fs[max(i, reach) : i + len(f)]))
+                    reach = i + len(f)
+        return weight >= COVERAGE * total
 
     def is_residue(self, part: str) -> bool:
-        """Whether passages contained in residue exemplars cover nearly all of the part, or one filler word is all there is."""
-        fs = features(_TAG.sub(" ", part))
-        # numbers alone are a version or a ticket
-        if not set(fs) - {"9"}:
+        """Whether nearly all of a part is contained in exemplars. One word alone, and numbers alone, are no page."""
+        plain = features(TAG.sub(" ", part))
+        if len(plain) < 2 or not set(plain) - {"9"}:
             return False
-        if len(fs) >= REPEATS and len(set(fs)) == 1 and self.containment(fs[:1], ("repeat",)) >= CONTAINMENT:
-            return True
-        # no coverage is possible without known words or syllables
-        known = sum(w in self.postings or _LATIN.fullmatch(w) is not None for w in fs)
-        if known < 0.6 * len(fs):
+        distinct = set(plain)
+        latin = "lorem" in distinct or "ipsum" in distinct or sum(len(w) >= 6 and _LATIN.fullmatch(w) is not None for w in distinct) >= LATIN_WORDS
+        if latin:
+            plain = ["latinword" if _LATIN.fullmatch(w) else w for w in plain]
+        labels = [k for k in self.known if self.may_be(plain, k) and (k == RESIDUE or len(plain) >= DOODLE)]
+        if not labels:
             return False
-        covered = total = 0.0
-        latin = "lorem" in fs or "ipsum" in fs or sum(len(w) >= 6 and _LATIN.fullmatch(w) is not None for w in fs) >= LATIN_WORDS
-        for p in passages(part):
-            f = features(p)
-            x = sum(map(self.weight, f))
-            total += x
-            made_of = latin and sum(_LATIN.fullmatch(w) is not None for w in f) >= CONTAINMENT * len(f)
-            if f and (made_of or self.containment(f, ("residue",)) >= CONTAINMENT):
-                covered += x
-        return covered >= COVERAGE * total
+        fs = [f for f in (features(p, latin) for p in passages(part)) if f]
+        return any(self.covered(fs, k) for k in labels)
 
     def has_field(self, message: str) -> bool:
-        """Whether a passage of the message still has an unfilled field. A quoted field is talked about."""
+        """Whether a passage of the message still has an unfilled field: it is contained in a form, or a form stands whole in it. A quoted field is talked about."""
         if not FIELD.search(message):
             return False
         message = re.sub(r"`[^`\n]*`", " quoted ", message)
-        for p in passages(FIELD.sub(" field ", message)):
-            f = features(p)
-            if "field" in f and self.containment(f, ("form",)) >= self.containment(f, ("mention",)):
-                return True
+        for p in passages(FIELD.sub(" \x02 ", message)):
+            for _, f in windows(features(p)) if "\x02" in p else ():
+                if "\u0192field" not in f:
+                    continue
+                for n, x in self.containments(f).items():
+                    label, ws = self.exemplars[n]
+                    held = sum(self.weight(w) for w in ws & set(f)) / self.whole[n]
+                    if label == "form" and (x >= CONTAINMENT or x >= FILLED and held >= CONTAINMENT and len(ws) > 2) and x >= self.best(f, ("mention",)):
+                        return True
         return False
 
 

@@ -6,7 +6,8 @@ import re
 #: Characters without width, and Cyrillic letters that look like Latin ones.
 INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
 LOOKALIKES = dict(zip(map(ord, "асеіјорѕухһԁԛԝАВСЕНІЈКМОРЅТУХ"), "aceijopsyxhdqwABCEHIJKMOPSTYX"))
-_TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,40}>")
+#: A tag: its name and attributes, whatever their length.
+TAG = re.compile(r"""</?[a-zA-Z][\w:-]*(?:[ \t]+[\w:@.-]+(?:[ \t]*=[ \t]*(?:"[^"\n]*"|'[^'\n]*'|[^\s"'<>]+))?)*[ \t]*/?>""")
 _WORD = re.compile(r"\w+")
 
 
@@ -27,4 +28,4 @@ def words(text: str | None) -> list[str]:
         t = t.translate(INVISIBLE)
         # only in words that mix scripts; Cyrillic text stays what it is
         t = re.sub(r"\w*[a-zA-Z]\w*", lambda m: m[0] if m[0].isascii() else m[0].translate(LOOKALIKES), t)
-    return _WORD.findall(_TAG.sub(" ", t).lower())
+    return _WORD.findall(TAG.sub(" ", t).lower())

@@ -41,6 +41,42 @@ def test_cases_and_no_cases(rows):
     assert got == sorted([1, *CASES])
 
 
+#: Phrasings; all but two of them stand in no exemplar word for word.
+HELD_OUT = [
+    "503 Service Temporarily Unavailable nginx", "502 Bad Gateway cloudflare", "Error establishing a database connection",
+    "This site requires JavaScript. Please enable it in your browser settings.", "Please turn JavaScript on and reload the page.",
+    "The page you are looking for does not exist.", "TODO: describe your changes here", "404 Not Found\n\nnginx",
+    "Sorry, the page you requested does not exist.", "Your session has expired. Sign in again to continue.",
+    "This app needs JavaScript to run. Allow scripts and refresh.", "The server timed out. Please try again later.", "Please add a description here",
+    "Service unavailable: the site is down for scheduled maintenance.", "Tested-on: {{ device }}", "* Risk - <AUTHOR>", "**Migration notes** [date goes here]",
+    "Release ${VERSION} of harbor-tools", "Sed ut elit dolor, consectetur tempor incididunt et labore.", "foo bar baz foo",
+]
+REAL = [
+    "Add <TITLE> tag support", "Allow ${HOME} in paths", "Support {{ user.name }} interpolation in emails", "Support {{ user.name }}", "error", "Gone", "Forbidden", "404",
+    "Fix page not found error", "Return 503 while the index is rebuilt", "Enable JavaScript source maps in the release build", "Describe the retry policy in the readme",
+    "Retry on bad gateway from the upstream mirror", "Show a notice when JavaScript is disabled", "Log in again after the session has expired in the mobile client",
+    "Handle 404 in the crawler", "Turn the cache on for scripts", "Remove lorem ipsum from the landing page", "Parse #{name} in shell strings", "Fix: escape <!-- in comments -->",
+    "Try again with exponential backoff when the server did not respond", "Update placeholder text of the search box", "Add test for bar foo ordering",
+]
+
+
+def test_held_out_phrasings_and_real_messages(rows):
+    data = [(i, commit(t)) for i, t in enumerate(HELD_OUT)] + [(100 + i, commit(t)) for i, t in enumerate(REAL)] + [(200 + i, commit(f"Keep the harbor out of the pump {i}")) for i in range(60)]
+    got = {r["doc_id"] for r in residue(rows(data, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert [HELD_OUT[i] for i in range(len(HELD_OUT)) if i not in got] == []
+    assert [REAL[i - 100] for i in sorted(got) if i >= 100] == []
+
+
+def test_no_length_is_too_long(rows):
+    long = "a" * 500
+    data = [
+        (1, commit(f"<!-- {' '.join(['describe the change in full'] * 40)} -->")), (2, commit("Page not found. Try again in a few minutes. " * 2000)),
+        (3, commit(f'<p class="{long}">Page not found</p>')), (4, commit("Keep the harbor out of the pump. " * 2000 + "Page not found.")),
+    ]
+    got = sorted(r["doc_id"] for r in residue(rows(data, "doc_id long, text string"), "doc_id", "text").collect())
+    assert got == [1, 2, 3]
+
+
 def test_empty(rows):
     assert residue(rows([], "doc_id long, text string"), "doc_id", "text").count() == 0
 
