@@ -15,9 +15,7 @@ def storms(spark: SparkSession, sf_dir: str, wet: float = 0.1, gap: int = 24) ->
 
     An hour is wet when some row of it has ``pr >= wet``; NULL and NaN are not wet. An empty table gives no rows.
     """
-    path = f"{sf_dir}/pr_hourly.parquet"
-    schema = table(spark, sf_dir, "pr_hourly").schema
-    return replay_sessions(spark, path, schema, valid("pr") & (F.col("pr") >= F.lit(wet)), SERIES, "t_i", gap)
+    return replay_sessions(table(spark, sf_dir, "pr_hourly"), valid("pr") & (F.col("pr") >= F.lit(wet)), SERIES, "t_i", gap)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

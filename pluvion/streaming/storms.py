@@ -1,77 +1,88 @@
 """Sessions of activity by keyed streaming timers.
 
-Every series has at most one open session in the state: first hour, last hour, number of active hours. The hours arrive in order within a
-micro-batch; an hour within the gap extends the open session and moves its end, a later one closes it. A session that no later hour closes is
-emitted when its timer expires. Series share state keys, a fixed number to each shuffle partition, so that the cost of a key is paid once for many
-series; a key's timer stands at the first end among its open sessions. ``stitched`` then joins the pieces of a series that was split into blocks (or
-that arrived in more than one micro-batch), so a series of any length is spread over many state keys.
+The state holds the active hours of the open sessions, each hour once. A micro-batch adds its hours; an hour within the gap extends a session and resets its
+timer. When the watermark passes the gap behind a session's last hour, no hour can join it any more: the timer expires and the session is emitted with its
+start, end and number of active hours. So a session is emitted once, and how the feed is cut into micro-batches changes nothing, as long as no hour arrives
+later than the watermark's delay. Series share state keys, whose number grows with the data; a key's timer stands at the first end among its open sessions.
+
+A table is replayed in slices of time, oldest first, so that the state holds the sessions of a slice or two and not those of the whole table.
 """
 
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from pluvion.scratch import shared_path
+from pluvion.scratch import shared_path, written
 
 #: The marker row of the end of a bounded replay: it moves the watermark past every timer. The latest year that pandas can hold.
 END_OF_INPUT = "2262-01-01 00:00:00"
+HOUR_MS = 3_600_000
+#: Rows of a slice of a replay, and of a state key in one.
+SLICE_ROWS, KEY_ROWS = 50_000_000, 8192
+
 
+def packed(rows: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
 
-def closed_runs(rows: pd.DataFrame, keys: list[str], gap: int) -> pd.DataFrame:
-    """Joins sessions (keys, from_i, to_i, n_active) of one series that lie no more than ``gap`` hours apart; adds ``last``: the latest of its series."""
-    rows = rows.sort_values([*keys, "from_i", "to_i"], kind="stable", ignore_index=True)
-    other = np.ones(len(rows), dtype=bool)
-    other[1:] = (rows[keys].to_numpy()[1:] != rows[keys].to_numpy()[:-1]).any(axis=1)
-    reach = rows.groupby(np.cumsum(other))["to_i"].cummax().to_numpy()
-    fresh = other.copy()
-    fresh[1:] |= rows["from_i"].to_numpy()[1:] - reach[:-1] > gap
-    at = np.flatnonzero(fresh)
-    end = np.append(at[1:], len(rows)) - 1
-    out = rows.iloc[at].reset_index(drop=True)
-    out["to_i"], out["n_active"] = reach[end], np.add.reduceat(rows["n_active"].to_numpy(), at)
-    out["last"] = np.append(other[at][1:], True)
-    return out
 
+def unpacked(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(data).read_pandas()
 
-def session_pieces(events: DataFrame, keys: list[str], hour: str, gap: int, delay: str = "0 seconds", state_keys: int = 4096) -> DataFrame:
-    """One row per session piece of a streaming ``events`` (columns: keys, ``hour``, ``event_ts``): from_i, to_i, n_active.
 
-    Two hours belong together unless they lie more than ``gap`` hours apart. Repeated hours count once within a micro-batch.
+def runs(rows: pd.DataFrame, keys: list[str], hour: str, gap: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """The distinct hours in order, and the sessions that they form: keys, from_i, to_i, n_active. Sessions follow the order of the hours."""
+    rows = rows.drop_duplicates().sort_values([*keys, hour], ignore_index=True)
+    at = rows[hour].to_numpy()
+    fresh = np.ones(len(rows), dtype=bool)
+    fresh[1:] = at[1:] - at[:-1] > gap
+    for k in keys:
+        v = rows[k].to_numpy()
+        fresh[1:] |= v[1:] != v[:-1]
+    first = np.flatnonzero(fresh)
+    end = np.append(first[1:], len(rows))
+    out = rows.iloc[first][keys].reset_index(drop=True)
+    out["from_i"], out["to_i"], out["n_active"] = at[first], at[end - 1], end - first
+    return rows, out
+
+
+def sessions(events: DataFrame, keys: list[str], hour: str, gap: int, delay: str = "0 seconds", state_keys: int = 4096) -> DataFrame:
+    """One row per session of a streaming ``events`` (columns: keys, ``hour``, ``event_ts``, the end of the hour): keys, from_i, to_i, n_active.
+
+    Two hours belong together unless they lie more than ``gap`` hours apart. Repeated hours count once. Hours are 0 or more. An hour that arrives more than
+    ``delay`` behind the latest one seen in earlier micro-batches is late and not counted.
     """
     types = {f.name: f.dataType for f in events.schema.fields}
     columns = [*keys, "from_i", "to_i", "n_active"]
     out = T.StructType([T.StructField(k, types[k]) for k in keys] + [T.StructField(n, T.IntegerType()) for n in columns[len(keys) :]])
-    held = T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in out.fields])
+    held = T.StructType([T.StructField("hours", T.BinaryType())])
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if key[0] < 0:
             return
-        before = [pd.DataFrame(dict(zip(columns, state.get)))] if state.exists else []
-        if state.hasTimedOut:
-            runs = before[0]
-            done = (runs["to_i"] + gap + 1) * 3_600_000 <= state.getCurrentWatermarkMs()
-        else:
+        rows = [unpacked(state.get[0])] if state.exists else []
+        if not state.hasTimedOut:
             # distinct hours of each arrow batch first, so that repeated rows never pile up
-            hours = pd.concat([b[[*keys, hour]].drop_duplicates() for b in batches]).drop_duplicates()
-            new = hours.rename(columns={hour: "from_i"}).assign(to_i=hours[hour], n_active=1)
-            runs = closed_runs(new, keys, gap)
-            if before:
-                runs = closed_runs(pd.concat([*before, runs[columns]]), keys, gap)
-            done = ~runs["last"]
-        open_ = runs.loc[~done, columns]
-        if len(open_):
-            state.update(tuple(open_[c].tolist() for c in columns))
-            state.setTimeoutTimestamp(max((int(open_["to_i"].min()) + gap + 1) * 3_600_000, state.getCurrentWatermarkMs() + 1))
-        else:
+            rows += [b[[*keys, hour]].drop_duplicates() for b in batches]
+        rows, found = runs(pd.concat(rows), keys, hour, gap)
+        ends = (found["to_i"].to_numpy(np.int64) + gap + 1) * HOUR_MS
+        done = ends <= state.getCurrentWatermarkMs()
+        if done.all():
             state.remove()
+        else:
+            state.update((packed(rows[np.repeat(~done, found["n_active"])]),))
+            state.setTimeoutTimestamp(max(int(ends[~done].min()), state.getCurrentWatermarkMs() + 1))
         if done.any():
-            yield runs.loc[done, columns]
+            yield found.loc[done, columns].astype({c: "int32" for c in columns[len(keys) :]})
 
     # the marker of the end only moves the watermark; it has a key of its own
     shared = F.when(F.col(keys[0]).isNotNull(), F.pmod(F.xxhash64(*keys), F.lit(state_keys))).otherwise(-1).cast("int").alias("_shared")
@@ -83,48 +94,52 @@ def session_pieces(events: DataFrame, keys: list[str], hour: str, gap: int, dela
     )
 
 
-def stitched(pieces: DataFrame, keys: list[str], gap: int) -> DataFrame:
-    """Joins pieces of one series that lie no more than ``gap`` hours apart."""
-    w = W.partitionBy(*keys).orderBy("from_i", "to_i")
-    reach = F.max("to_i").over(w.rowsBetween(W.unboundedPreceding, -1))
-    new = F.when(reach.isNull() | (F.col("from_i") - reach > gap), 1).otherwise(0)
-    return (
-        pieces.withColumn("_new", new)
-        .withColumn("_no", F.sum("_new").over(w))
-        .groupBy(*keys, "_no")
-        .agg(F.min("from_i").alias("from_i"), F.max("to_i").alias("to_i"), F.sum("n_active").cast("int").alias("n_active"))
-        .drop("_no")
-    )
-
-
-def replay_sessions(
-    spark: SparkSession, path: str, schema: T.StructType, active, keys: list[str], hour: str, gap: int = 24, block_hours: int = 16384
-) -> DataFrame:
-    """Sessions of a Parquet table, replayed as a stream: keys, from_i, to_i, n_active.
-
-    ``active`` is the condition that makes a row an event. NULL keys or hours are no events; an empty table gives no rows; other
-    columns are ignored. Series are split into blocks of ``block_hours`` so that a series with a large share of the rows is spread
-    over many state keys.
+def feed(rows: DataFrame, slices: int, bounds: list[int]) -> tuple[str, int]:
+    """Writes the hours to the shared folder, one slice of time after the other, and the marker last; gives the folder and the files of a slice on average."""
+    spark = rows.sparkSession
+    path = shared_path(spark, "hours")
+    if slices == 1:
+        rows.write.parquet(path)
+    else:
+        no = F.lit(0)
+        for b in bounds:
+            no = no + F.when(F.col("_hour") > b, 1).otherwise(0)
+        staged = written(rows.withColumn("_slice", no).repartition("_slice", *rows.columns), "staged-hours", ["_slice"])
+        for i in range(slices):
+            staged.where(F.col("_slice") == i).select(*rows.columns).write.mode("append").parquet(path)
+    files = -(-len(spark.read.schema(rows.schema).parquet(path).inputFiles()) // slices)
+    marker = spark.range(1).select(*[F.lit(END_OF_INPUT).cast("timestamp").alias(f.name) if f.name == "event_ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields])
+    marker.coalesce(1).write.mode("append").parquet(path)
+    return path, max(1, files)
+
+
+def replay_sessions(table: DataFrame, active: Column, keys: list[str], hour: str, gap: int = 24, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Sessions of a stored table, replayed as a stream: keys, from_i, to_i, n_active.
+
+    ``active`` is the condition that makes a row an event. NULL keys or hours are no events; an empty table gives no rows; other columns are ignored, and
+    repeated rows count once. The slices are cut at quantiles of the hour, so that each has about ``slice_rows`` rows.
     """
-    one_hour = 3600
+    spark = table.sparkSession
     event = active & F.col(hour).isNotNull()
     for k in keys:
         event = event & F.col(k).isNotNull()
-    block = F.floor(F.col(hour) / F.lit(block_hours)).cast("int").alias("_block")
     # the end of the hour: the first watermark is 1970-01-01 and hour 0 must not be late for it
-    stamp = F.timestamp_seconds((F.col(hour).cast("long") + 1) * one_hour).alias("event_ts")
-    # as a pattern, the path may be a single file as well as a folder
-    source = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]").where(event).select(*keys, block, F.col(hour).cast("int").alias("_hour"), stamp)
-    end = shared_path(spark, "end-of-input")
-    marker = spark.range(1).select(
-        *[F.lit(None).cast(source.schema[k].dataType).alias(k) for k in keys],
-        F.lit(-1).alias("_block"), F.lit(0).alias("_hour"), F.lit(END_OF_INPUT).cast("timestamp").alias("event_ts"),
-    )
-    marker.coalesce(1).write.parquet(end)
-    events = source.unionByName(spark.readStream.schema(marker.schema).parquet(end))
-    per_partition = 64
-    pieces = session_pieces(events, [*keys, "_block"], "_hour", gap, state_keys=per_partition * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    stamp = F.timestamp_seconds((F.col(hour).cast("long") + 1) * (HOUR_MS // 1000)).alias("event_ts")
+    rows = table.where(event).select(*keys, F.col(hour).cast("int").alias("_hour"), stamp)
+    n, lo, hi = rows.agg(F.count("*"), F.min("_hour"), F.max("_hour")).first()
+    slices = max(1, -(-n // slice_rows))
+    bounds = []
+    if slices > 1:
+        # as many numbers as slices less one
+        bounds = sorted(set(rows.agg(F.percentile_approx("_hour", [i / slices for i in range(1, slices)], 100 * slices)).first()[0]))
+        slices = len(bounds) + 1
+    path, files = feed(rows, slices, bounds)
+    # files are read in the order in which they were written; a micro-batch that ends within a slice must not make the rest of it late
+    span = max(b - a for a, b in zip([lo, *bounds], [*bounds, hi])) if slices > 1 else 0
+    per_key = 64 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    events = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
+    found = sessions(events, keys, "_hour", gap, f"{span} hours", max(per_key, min(n, slice_rows) // KEY_ROWS, n // (64 * KEY_ROWS)))
     out, log = shared_path(spark, "sessions"), shared_path(spark, "sessions-log")
-    run = pieces.writeStream.format("parquet").option("checkpointLocation", log).trigger(availableNow=True).start(out)
+    run = found.writeStream.format("parquet").option("checkpointLocation", log).trigger(availableNow=True).start(out)
     run.awaitTermination()
-    return stitched(spark.read.schema(pieces.schema).parquet(out), keys, gap)
+    return spark.read.schema(found.schema).parquet(out)

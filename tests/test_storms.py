@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from pluvion.operators.storms import p2_found, p2_storm_lengths
-from pluvion.streaming.storms import replay_sessions, stitched
+from pluvion.streaming.storms import replay_sessions, sessions
 
 SCHEMA = "run_id int, cell_id int, t_i int, ts timestamp, pr float, loaded_at timestamp, from_i int"
 
@@ -33,19 +33,46 @@ def test_against_brute_force_in_blocks(spark, rows, folder):
                 want.add((1, c, start, prev))
                 start = t
             prev = t
-    schema = spark.read.parquet(f"{d}/pr_hourly.parquet").schema
-    got = replay_sessions(spark, f"{d}/pr_hourly.parquet", schema, F.col("pr") >= 0.1, ["run_id", "cell_id"], "t_i", block_hours=100)
-    assert {tuple(r)[:4] for r in got.collect()} == want
-    assert sum(r["n_active"] for r in got.collect()) == len({(c, t) for _, c, t, p in data if p >= 0.1})
+    for slice_rows in (10**6, 400, 90):
+        got = replay_sessions(spark.read.parquet(f"{d}/pr_hourly.parquet"), F.col("pr") >= 0.1, ["run_id", "cell_id"], "t_i", slice_rows=slice_rows).collect()
+        assert {tuple(r)[:4] for r in got} == want and len(got) == len(want)
+        assert sum(r["n_active"] for r in got) == len({(c, t) for _, c, t, p in data if p >= 0.1})
+
+
+def test_same_sessions_however_the_feed_is_cut(spark, rows, tmp_path):
+    """The same rows in any order as 1, 3 and 10 micro-batches, repeated rows in different ones, with a delay that no row exceeds."""
+    rng = random.Random(8)
+    data = [(k, t) for k in range(3) for t in rng.sample(range(1500), 120)]
+    data += rng.sample(data, 90)
+    rng.shuffle(data)
+    stamp = F.timestamp_seconds((F.col("h") + 1) * 3600)
+    found = []
+    for cuts in (1, 3, 10):
+        path = f"{tmp_path}/{cuts}"
+        for i in range(cuts):
+            rows(data[i::cuts], "k int, h int").withColumn("event_ts", stamp).coalesce(1).write.mode("append").parquet(path)
+        end = rows([(None, None)], "k int, h int").withColumn("event_ts", F.lit("2262-01-01").cast("timestamp"))
+        end.coalesce(1).write.mode("append").parquet(path)
+        events = spark.readStream.schema(end.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        out = sessions(events, ["k"], "h", 24, "2000 hours", 4)
+        out.writeStream.format("parquet").option("checkpointLocation", f"{path}-log").trigger(availableNow=True).start(f"{path}-out").awaitTermination()
+        found.append(sorted(map(tuple, spark.read.schema(out.schema).parquet(f"{path}-out").collect())))
+    assert found[1] == found[0] and found[2] == found[0] and sum(r[3] for r in found[0]) == len(set(data))
 
 
 def test_empty_table(spark, rows, folder):
     assert p2_found(spark, put(folder, rows, [])).count() == 0
 
 
-def test_pieces_that_overlap_are_one_storm(rows):
-    p = rows([(1, 0, 50, 9), (1, 10, 20, 3), (1, 70, 71, 2), (1, 96, 96, 1)], "k int, from_i int, to_i int, n_active int")
-    assert sorted(map(tuple, stitched(p, ["k"], 24).collect())) == [(1, 0, 71, 14), (1, 96, 96, 1)]
+def test_cleared_tables_are_gone(spark, rows):
+    from pluvion.scratch import cleared, written
+
+    df = written(rows([(1,)], "k int"), "some")
+    path = df.inputFiles()[0]
+    assert df.count() == 1 and cleared(spark) >= 1 and cleared(spark) == 0
+    import os
+
+    assert not os.path.exists(path.removeprefix("file://"))
 
 
 def test_lengths_with_events_without_storms(spark, rows, folder):
