@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from pluvion.scratch import written
 from pluvion.sources.tables import table, valid
 
 SERIES = ["run_id", "cell_id"]
@@ -36,7 +37,7 @@ def daily_readings(df: DataFrame, keys: list[str], index: str, value: str, order
 
     The rows of a step are put together on (keys, step), partly before the shuffle, so repeated rows of one series cannot pile up.
     """
-    steps = df.where(valid(value) & F.col(index).isNotNull()).groupBy(*keys, index).agg(F.max_by(value, F.struct(order, value)).cast("double").alias("_v"))
+    steps = df.where(valid(value) & F.col(index).isNotNull()).groupBy(*keys, index).agg(F.max(F.struct(order, value))[value].cast("double").alias("_v"))
     day = F.floor(F.col(index) / 24).cast("int").alias("day_i")
     return steps.groupBy(*keys, day).agg(F.sum("_v").alias("total"), F.count("_v").alias("n"))
 
@@ -104,8 +105,8 @@ def p4_rolling_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The days that the calendar adds to the temperature output."""
-    return temperature_rolling(table(spark, sf_dir, "tas_steps")).where(~F.col("active")).select("run_id", "cell_id", "day_i")
+    """The days without activity of the temperature output. The output is written whole, frames and all, and they are read from it."""
+    return written(p4_rolling_temperature(spark, sf_dir), "rolling-temperature").where(~F.col("active")).select("run_id", "cell_id", "day_i")
 
 
 DAYS_SQL = """
