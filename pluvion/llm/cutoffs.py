@@ -19,13 +19,19 @@ RANK_ERROR = 2.296 / SKETCH_K**0.9723
 GRID = 1024
 
 
+def kind_of(rows: DataFrame, value: str) -> str:
+    """FLOAT values have sketches of their own, all other numbers those of DOUBLE."""
+    return "float" if dict(rows.dtypes)[value] == "float" else "double"
+
+
 def sketches(rows: DataFrame, keys: list[str], value: str, k: int = SKETCH_K) -> DataFrame:
-    """One KLL sketch of ``value`` (FLOAT) per group; sketches of several days or runs go into ``merged``."""
-    return rows.where(valid(value)).groupBy(*keys).agg(F.kll_sketch_agg_float(value, F.lit(k)).alias("sketch"), F.count("*").alias("n_rows"))
+    """One KLL sketch of ``value`` (FLOAT or DOUBLE) per group; sketches of several days or runs go into ``merged``."""
+    sketch = getattr(F, f"kll_sketch_agg_{kind_of(rows, value)}")
+    return rows.where(valid(value)).groupBy(*keys).agg(sketch(value, F.lit(k)).alias("sketch"), F.count("*").alias("n_rows"))
 
 
-def merged(parts: DataFrame, keys: list[str]) -> DataFrame:
-    return parts.groupBy(*keys).agg(F.kll_merge_agg_float("sketch").alias("sketch"), F.sum("n_rows").alias("n_rows"))
+def merged(parts: DataFrame, keys: list[str], kind: str = "float") -> DataFrame:
+    return parts.groupBy(*keys).agg(getattr(F, f"kll_merge_agg_{kind}")("sketch").alias("sketch"), F.sum("n_rows").alias("n_rows"))
 
 
 def kept_cutoffs(rows: DataFrame, targets: DataFrame, keys: list[str], value: str, share: str) -> DataFrame:
@@ -37,18 +43,19 @@ def kept_cutoffs(rows: DataFrame, targets: DataFrame, keys: list[str], value: st
     """
     asked = targets.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(share).alias("_share"))
     on = [F.col(k) == F.col(f"_{k}") for k in keys]
-    rows = rows.select(*keys, F.col(value).cast("float").alias("_v")).where(valid("_v"))
+    kind = kind_of(rows, value)
+    rows = rows.select(*keys, F.col(value).cast(kind).alias("_v")).where(valid("_v"))
     sketch = sketches(rows, keys, "_v").withColumnsRenamed({"sketch": "_sketch", "n_rows": "_rows"}).join(asked, on)
     rank = F.greatest(F.lit(1), F.ceil(F.col("_share") * F.col("_rows")))
-    grid = F.kll_sketch_get_quantile_float("_sketch", F.array(*[F.lit(i / GRID) for i in range(GRID + 1)]))
+    grid = getattr(F, f"kll_sketch_get_quantile_{kind}")("_sketch", F.array(*[F.lit(i / GRID) for i in range(GRID + 1)]))
     sketch = written(sketch.select(*[F.col(k).alias(f"_{k}") for k in keys], "_rows", rank.alias("_rank"), grid.alias("_grid")), "sketches")
     at = 1 - F.col("_rank") / F.col("_rows")
     width = 4 * RANK_ERROR
     while True:
         # beyond the ends the bracket is open
         below, above = F.floor((at - width) * GRID).cast("int"), F.ceil((at + width) * GRID).cast("int")
-        lo = F.when(below > 0, F.get("_grid", below)).otherwise(F.lit(float("-inf")).cast("float"))
-        hi = F.when(above < GRID, F.get("_grid", above)).otherwise(F.lit(float("inf")).cast("float"))
+        lo = F.when(below > 0, F.get("_grid", below)).otherwise(F.lit(float("-inf")).cast(kind))
+        hi = F.when(above < GRID, F.get("_grid", above)).otherwise(F.lit(float("inf")).cast(kind))
         bracket = written(sketch.withColumn("_lo", lo).withColumn("_hi", hi).drop("_grid"), "brackets")
         place = F.when(F.col("_v") > F.col("_hi"), 1).when(F.col("_v") >= F.col("_lo"), 0).otherwise(-1)
         bins = (
@@ -56,7 +63,7 @@ def kept_cutoffs(rows: DataFrame, targets: DataFrame, keys: list[str], value: st
             .groupBy(*[f"_{k}" for k in keys], "_place", F.when(F.col("_place") == 0, F.col("_v")).alias("_cut"))
             .agg(F.count("*").alias("_n"), F.first("_rows").alias("_rows"), F.first("_rank").alias("_rank"))
         )
-        # distinct values of a bracket: a narrow range of FLOAT, however many rows
+        # distinct values of a bracket: a narrow range, however many rows
         down = W.partitionBy(*[f"_{k}" for k in keys]).orderBy(F.desc("_place"), F.desc("_cut")).rowsBetween(W.unboundedPreceding, 0)
         reached = bins.withColumn("_kept", F.sum("_n").over(down)).where((F.col("_kept") >= F.col("_rank")) & (F.col("_kept") - F.col("_n") < F.col("_rank")))
         cut = written(reached.drop("_rank"), "cutoffs")

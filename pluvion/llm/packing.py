@@ -10,6 +10,7 @@ import bisect
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -17,23 +18,27 @@ from pyspark.sql import Window as W
 from pluvion.scratch import written
 from pluvion.sources.tables import table
 
-#: The public tokenizer's vocabulary; installed on every machine, never copied here.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: The public tokenizer's vocabulary, unless the session names another in ``SETTING``. The driver reads it and ships it with the job; it is never copied here.
+TOKENIZER, SETTING = "/opt/tokenizers/byte_bpe_50k.tiktoken", "spark.pluvion.tokenizer"
 #: Fixed value: how that tokenizer splits text before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts of one length ranked in one task.
 PART_ROWS = 50_000
 
 
-def token_counts(docs: DataFrame, key: str, text: str, vocabulary: str = TOKENIZER) -> DataFrame:
+def token_counts(docs: DataFrame, key: str, text: str, vocabulary: str | None = None) -> DataFrame:
     """key, n_tokens. NULL and empty texts have 0 tokens. Strings of special tokens count as ordinary text."""
+    spark = docs.sparkSession
+    vocabulary = vocabulary or spark.conf.get(SETTING, TOKENIZER)
+    name = vocabulary.rsplit("/", 1)[-1]
+    spark.sparkContext.addFile(vocabulary)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import base64
 
         import tiktoken
 
-        with open(vocabulary, "rb") as f:
+        with open(SparkFiles.get(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         enc = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         for b in batches:
@@ -166,5 +171,25 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return used.join(caps, "bin_kind").withColumn("fill", F.round(F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")), 6))
 
 
-SQL: dict[str, str] = {}
-QUERIES = {"p7_packing": p7_packing, "p7_fill": p7_fill}
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per kind the texts, and the faults of the packing, of which there must be none: texts with lost or doubled tokens, texts cut though they fit, containers filled over their capacity."""
+    docs = table(spark, sf_dir, "documents")
+    sizes = written(token_counts(docs, "doc_id", "text"), "sizes")
+    slots = written(packed(sizes, capacities_of(spark, sf_dir), "doc_id"), "packing")
+    caps = table(spark, sf_dir, "pack_capacity").select("bin_kind", "capacity_tokens")
+    used = slots.where(F.col("container").isNotNull()).groupBy("bin_kind", "container").agg(F.sum("n_tokens").alias("t"), F.max(F.col("offset") + F.col("n_tokens")).alias("end"))
+    over = used.join(caps, "bin_kind").where((F.col("t") > F.col("capacity_tokens")) | (F.col("end") > F.col("capacity_tokens")) | (F.col("end") > F.col("t")))
+    over = over.groupBy("bin_kind").agg(F.count("*").alias("n_overfull"))
+    texts = slots.groupBy("bin_kind", "doc_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("m"), F.max(F.col("start_token") + F.col("n_tokens")).alias("end"))
+    texts = texts.join(sizes, "doc_id").join(caps, "bin_kind")
+    wrong = (F.col("t") != F.col("n_tokens")) | (F.col("end") != F.col("n_tokens"))
+    texts = texts.groupBy("bin_kind").agg(
+        F.count("*").alias("n_texts"), F.count(F.when(wrong, 1)).alias("n_wrong"), F.count(F.when((F.col("m") > 1) & (F.col("n_tokens") <= F.col("capacity_tokens")), 1)).alias("n_cut_in_vain")
+    )
+    return texts.join(over, "bin_kind", "left").withColumn("n_overfull", F.coalesce("n_overfull", F.lit(0)))
+
+
+SQL: dict[str, str] = {
+    "p7_checks": "select bin_kind, (select count(distinct doc_id) from documents) as n_texts, 0 as n_wrong, 0 as n_cut_in_vain, 0 as n_overfull from pack_capacity",
+}
+QUERIES = {"p7_packing": p7_packing, "p7_fill": p7_fill, "p7_checks": p7_checks}

@@ -26,3 +26,10 @@ def test_empty(rows):
 def test_sketches_merge(rows):
     parts = sketches(rows([("a", i % 3, float(i)) for i in range(999)], "k string, day int, v float"), ["k", "day"], "v")
     assert merged(parts, ["k"]).first()["n_rows"] == 999
+
+
+def test_double_values_keep_their_digits(rows):
+    values = [1 + i * 1e-12 for i in range(100)]
+    data = rows([("a", v) for v in values], "k string, v double")
+    r = kept_cutoffs(data, rows([("a", 0.25)], "k string, share double"), ["k"], "v", "share").first()
+    assert r["cutoff"] == values[75] and r["n_kept"] == 25 and r["n_ties"] == 1
