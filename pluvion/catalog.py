@@ -1,9 +1,9 @@
 """Every query of the core by name, with its SQL where there is one."""
 
 from pluvion.operators import faults, rolling, storms, units
-from pluvion.plans import reference
+from pluvion.plans import reference, series
 
-_MODULES = [storms, rolling, units, faults, reference]
+_MODULES = [storms, rolling, units, faults, reference, series]
 
 
 def queries() -> dict:

@@ -9,17 +9,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def weibull_fit(values: DataFrame, keys: list[str], x: str, censor_pct: int = 85) -> DataFrame:
+def weibull_fit(values: DataFrame, keys: list[str], x: str, censor_pct: int = 85, upper_pct: int = 100) -> DataFrame:
     """keys, n, n_used, shape, scale: least squares of ln x on the Weibull plotting position, over the values above the censored share.
 
     Values are positive and finite, others are left out. Of ``n`` sorted values the first ``n * censor_pct div 100`` are left out, unless that is one
-    at most. Groups with fewer than two used values, or with equal ones, have no fit and no row. Ties need no order.
+    at most, and those beyond the first ``n * upper_pct / 100``, rounded up. Groups with fewer than two used values, or with equal ones, have no fit and no row. Ties need no order.
     """
     good = values.where((F.col(x) > 0) & (F.col(x) < float("inf")))
     w = W.partitionBy(*keys)
     i, n = F.row_number().over(w.orderBy(x)), F.count("*").over(w)
     skip = F.expr(f"case when (n * {censor_pct}) div 100 <= 1 then 0 else (n * {censor_pct}) div 100 end")
-    used = good.withColumn("i", i).withColumn("n", n).where(F.col("i") > skip)
+    upto = F.expr(f"(n * {upper_pct} + 99) div 100")
+    used = good.withColumn("i", i).withColumn("n", n).where((F.col("i") > skip) & (F.col("i") <= upto))
     place = F.log(-F.log(1 - F.col("i") / (F.col("n") + 1)))
     out = used.withColumn("_x", F.log(x)).withColumn("_y", place).groupBy(*keys).agg(
         F.first("n").alias("n"), F.count("*").alias("n_used"), F.regr_slope("_x", "_y").alias("_b"), F.regr_intercept("_x", "_y").alias("_a")
@@ -140,14 +141,14 @@ def seeded_interval(x: np.ndarray, block: np.ndarray, seed: list[int], periods:
     return np.nanpercentile(levels, bands, axis=0).astype(np.float32) if np.isfinite(levels).any() else None
 
 
-def seeded_bootstrap(events: DataFrame, keys: list[str], block: str, x: str, seed_column: str, periods: list[int], niter: int, base_seed: int = 0) -> DataFrame:
+def seeded_bootstrap(events: DataFrame, keys: list[str], block: str, x: str, seed_column: str, periods: list[int], niter: int, base_seed: int = 0, censor: tuple[float, float] = (0.85, 1.0), bands: tuple[float, float] = (5, 95)) -> DataFrame:
     """keys, return_period, lo, hi with draws seeded by ``base_seed`` and the group's raster cell, whatever the partitioning. A group is the events of one cell and duration."""
     good = events.where((F.col(x) > 0) & (F.col(x) < float("inf"))).select(*{*keys, seed_column}, block, x)
     types = dict(events.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", return_period int, lo float, hi float"
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        band = seeded_interval(pdf[x].to_numpy(float), pdf[block].to_numpy(), [base_seed, int(pdf[seed_column].iloc[0])], periods, niter)
+        band = seeded_interval(pdf[x].to_numpy(float), pdf[block].to_numpy(), [base_seed, int(pdf[seed_column].iloc[0])], periods, niter, censor, bands)
         rows = [] if band is None else [(*key, p, *band[:, i]) for i, p in enumerate(periods)]
         return pd.DataFrame(rows, columns=[*keys, "return_period", "lo", "hi"])
 

@@ -84,11 +84,42 @@ def nearest_axis(points: DataFrame, value: str, origin: float, step: float, n: i
 
 
 def rounded_match(points: DataFrame, axis: DataFrame, value: str, digits: int = 7) -> DataFrame:
-    """Joins points to axis rows with the same coordinate at ``digits`` digits; those without one keep a NULL index, for the caller to refuse."""
+    """Joins points to axis rows with the same coordinate at ``digits`` digits; those without one keep a NULL index, for ``all_matched`` to refuse."""
     a = axis.select(F.round("coord", digits).alias("_c"), F.col("i"))
     return points.join(a, F.round(value, digits) == F.col("_c"), "left").drop("_c")
 
 
+def all_matched(points: DataFrame, index: str) -> DataFrame:
+    """The points, or an error when the plan runs and a point has no index."""
+    return points.withColumn(index, F.coalesce(F.col(index), F.raise_error(F.lit(f"a point is not on the grid: {index} is missing"))))
+
+
+def nearest_of(points: DataFrame, axis: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """Adds ``name``: the index of the axis row (columns ``by``, coord, i) nearest to a coordinate, of two as near that of the lower coordinate; NULL without an axis.
+
+    Points and axis are put in one order, and each point sees the axis value before it and the one after it. No pairs are formed.
+    """
+    both = points.withColumn("_at", F.col(value)).withColumn("_axis", F.lit(None).cast("struct<at:double,i:int>")).unionByName(
+        axis.select(*by, F.col("coord").alias("_at"), F.struct(F.col("coord").cast("double").alias("at"), F.col("i").cast("int").alias("i")).alias("_axis")), allowMissingColumns=True
+    )
+    w = W.partitionBy(*by).orderBy("_at", F.col("_axis").isNull())
+    both = both.withColumn("_lo", F.last("_axis", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("_hi", F.first("_axis", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)))
+    x = F.col(value)
+    lower = F.col("_hi").isNull() | (x - F.col("_lo.at") <= F.col("_hi.at") - x)
+    return both.where(F.col("_axis").isNull()).withColumn(name, F.when(F.col("_lo").isNotNull() & lower, F.col("_lo.i")).otherwise(F.col("_hi.i"))).drop("_at", "_axis", "_lo", "_hi")
+
+
+def geotransform(cells: DataFrame) -> DataFrame:
+    """One row: west, north (edges of the outermost cells), dx, dy, nx, ny, and whether y grows northwards, from cell centres lat, lon at y, x."""
+    a = cells.agg(
+        F.min("lon").alias("lon0"), F.max("lon").alias("lon1"), F.min("lat").alias("lat0"), F.max("lat").alias("lat1"), F.countDistinct("x").alias("nx"), F.countDistinct("y").alias("ny"),
+        F.min_by("lat", "y").alias("first"), F.max_by("lat", "y").alias("last"),
+    )
+    step = lambda lo, hi, n: F.when(F.col(n) > 1, (F.col(hi) - F.col(lo)) / (F.col(n) - 1))
+    a = a.withColumn("dx", step("lon0", "lon1", "nx")).withColumn("dy", step("lat0", "lat1", "ny"))
+    return a.select((F.col("lon0") - F.col("dx") / 2).alias("west"), (F.col("lat1") + F.col("dy") / 2).alias("north"), "dx", "dy", "nx", "ny", (F.col("last") > F.col("first")).alias("flip"))
+
+
 def affine_cell(points: DataFrame, lat: str, lon: str, north: float, west: float, dy: float, dx: float) -> DataFrame:
     """Adds ``row`` (from the north) and ``col`` of the raster cell that holds a point."""
     return points.withColumn("row", F.floor((F.lit(north) - F.col(lat)) / F.lit(dy)).cast("int")).withColumn("col", F.floor((F.col(lon) - F.lit(west)) / F.lit(dx)).cast("int"))

@@ -82,6 +82,23 @@ def slope_error(x: np.ndarray, y: np.ndarray, q: float, a: float, b: float) -> f
     return float(np.sqrt((q * (1 - q) * d @ (m.T @ m) @ d)[1, 1]))
 
 
+def good_pairs(pairs: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    return pairs.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double")) & (F.col(y) > 0) & (F.col(y) < float("inf"))).select(*keys, x, y)
+
+
+def quantile_lines(pairs: DataFrame, keys: list[str], x: str, y: str, quantiles: list[float], least: int = 50) -> DataFrame:
+    """keys, q, a, b, mid: the lines themselves, as found, and the mean of x. A group is the events of one cell and duration."""
+    types = dict(pairs.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", q double, a double, b double, mid double"
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        u, v = pdf[x].to_numpy(float), np.log(pdf[y].to_numpy(float))
+        rows = [(*key, q, *quantile_line(u, v, q), float(u.mean())) for q in quantiles] if len(u) >= least and np.ptp(u) > 0 else []
+        return pd.DataFrame(rows, columns=[*keys, "q", "a", "b", "mid"])
+
+    return good_pairs(pairs, keys, x, y).groupBy(*keys).applyInPandas(one, schema)
+
+
 def quantile_regression(pairs: DataFrame, keys: list[str], x: str, y: str, quantiles: list[float], least: int = 50) -> DataFrame:
     """keys, quantile, slope_pct, slope_lo, slope_hi, intercept, n_events, converged: ln y on x, slopes as percent per unit at three digits.
 
@@ -107,5 +124,4 @@ def quantile_regression(pairs: DataFrame, keys: list[str], x: str, y: str, quant
             rows.append((*key, q, *pct, round(a, 5), len(u), True))
         return pd.DataFrame(rows, columns=names)
 
-    good = pairs.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double")) & (F.col(y) > 0) & (F.col(y) < float("inf")))
-    return good.select(*keys, x, y).groupBy(*keys).applyInPandas(one, schema)
+    return good_pairs(pairs, keys, x, y).groupBy(*keys).applyInPandas(one, schema)

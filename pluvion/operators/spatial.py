@@ -29,11 +29,11 @@ def fields(events: DataFrame, cube: DataFrame, event_keys: list[str], size: int,
     return asked.join(moving.drop("v"), ["y", "x", "t"]).select(*event_keys, "duration", "dy", "dx", f.alias("f"))
 
 
-def metrics(field: DataFrame, event_keys: list[str], size: int) -> DataFrame:
-    """event keys, duration, cv, rg_norm, a_50, pca_50, a_50_cells of the events whose whole window lies in the grid, without NULLs.
+def metrics(field: DataFrame, event_keys: list[str], size: int, fractions: tuple[float, ...] = (0.5,), alphas: tuple[float, ...] = (0.5,)) -> DataFrame:
+    """event keys, duration, cv, rg_norm, a_N and a_N_cells of each fraction, pca_N of each alpha, of the events whose whole window lies in the grid, without NULLs.
 
-    cv: population deviation over mean. rg_norm: radius of gyration over that of an even field, 0 for an empty one. a_50: share of the window that holds half
-    of the total, taking cells from the greatest on. pca_50: share of cells at half the maximum or more. Empty fields have NULL cv, a_50 and pca_50.
+    cv: population deviation over mean. rg_norm: radius of gyration over that of an even field, 0 for an empty one. a_N: share of the window that holds N percent
+    of the total, taking cells from the greatest on. pca_N: share of cells at N percent of the maximum or more. Empty fields have NULL cv, a_N and pca_N.
     """
     keys = [*event_keys, "duration"]
     cells = size * size
@@ -42,16 +42,18 @@ def metrics(field: DataFrame, event_keys: list[str], size: int) -> DataFrame:
     down = w.orderBy(F.desc("f")).rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("_tot", F.sum("f").over(w)).withColumn("_max", F.max("f").over(w)).withColumn("_cum", F.sum("f").over(down)).withColumn("_i", F.row_number().over(w.orderBy(F.desc("f"))))
     f = F.col("f").cast("double")
+    percent = lambda share: round(share * 100)
     s = rows.groupBy(*keys).agg(
         F.first("_tot").alias("tot"), F.stddev_pop(f).alias("sd"), F.avg(f).alias("m"), *[F.sum(f * e).alias(n) for n, e in (("fy", F.col("dy")), ("fx", F.col("dx")), ("fyy", F.col("dy") * F.col("dy")), ("fxx", F.col("dx") * F.col("dx")))],
-        F.min(F.when(F.col("_cum") * 2 >= F.col("_tot"), F.col("_i"))).alias("cells_50"), F.sum(F.when(F.col("f") * 2 >= F.col("_max"), 1).otherwise(0)).alias("cells_max"),
+        *[F.min(F.when(F.col("_cum") * 100 >= F.col("_tot") * percent(q), F.col("_i"))).alias(f"_a{percent(q)}") for q in fractions],
+        *[F.sum(F.when(F.col("f") * 100 >= F.col("_max") * percent(q), 1).otherwise(0)).alias(f"_p{percent(q)}") for q in alphas],
     )
     tot = F.col("tot").cast("double")
     spread = F.col("fyy") / tot - F.pow(F.col("fy") / tot, 2) + F.col("fxx") / tot - F.pow(F.col("fx") / tot, 2)
     some = F.col("tot") > 0
+    a = [(F.when(some, F.col(f"_a{p}") / F.lit(float(cells))).alias(f"a_{p}"), F.when(some, F.col(f"_a{p}")).alias(f"a_{p}_cells")) for p in map(percent, fractions)]
     return s.select(
         *keys, F.when(some, F.col("sd") / F.col("m")).alias("cv"),
         F.when(some, F.sqrt(F.greatest(F.lit(0.0), spread)) / F.lit(((cells - 1) / 6) ** 0.5)).otherwise(0.0).alias("rg_norm"),
-        F.when(some, F.col("cells_50") / F.lit(float(cells))).alias("a_50"), F.when(some, F.col("cells_max") / F.lit(float(cells))).alias("pca_50"),
-        F.when(some, F.col("cells_50")).alias("a_50_cells"),
+        *[c for pair in a for c in pair], *[F.when(some, F.col(f"_p{p}") / F.lit(float(cells))).alias(f"pca_{p}") for p in map(percent, alphas)],
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pluvion import config
+from pluvion.functions.calendar import civil_year
 from pluvion.operators import events as ev
 from pluvion.operators import fit, grid, scaling, spatial, tails
 from pluvion.operators.rolling import rounded
@@ -207,25 +208,20 @@ def q_fixed_point(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).select("cell", "duration", "s0", F.bround(F.col("total") / 1e6 * 10000).cast("bigint").alias("depth"))
 
 
-def civil_year(i: str):
-    """Civil year of step ``i`` of a run by its calendar: 360 or 365 days a year, or ts itself. Needs t0, time_res_min and cal_name."""
-    day = F.expr(f"({i} * time_res_min div 60) div 24")
-    plain = lambda n, before: F.year("t0") + F.floor((before + day) / n).cast("int")
-    before360 = (F.month("t0") - 1) * 30 + F.dayofmonth("t0") - 1
-    before365 = F.dayofyear("t0") - 1 - F.when((F.month("t0") > 2) & (F.dayofyear(F.make_date(F.year("t0"), F.lit(12), F.lit(31))) == 366), 1).otherwise(0)
-    return F.when(F.col("cal_name") == "360_day", plain(360, before360)).when(F.col("cal_name") == "365_day", plain(365, before365)).otherwise(F.year(F.date_add(F.col("t0").cast("date"), day.cast("int"))))
+def step_year(i: Column) -> Column:
+    return civil_year(i, F.col("t0"), F.col("time_res_min"), F.col("cal_name"))
 
 
 def q_calendar(spark: SparkSession, d: str) -> DataFrame:
     """Civil year of the first and last step of every run."""
-    return table(spark, d, "sim_run").select("run_id", "cal_name", civil_year("0").alias("first_year"), civil_year("(n_steps - 1)").alias("last_year"))
+    return table(spark, d, "sim_run").select("run_id", "cal_name", step_year(F.lit(0)).alias("first_year"), step_year(F.col("n_steps") - 1).alias("last_year"))
 
 
 def q_step_years(spark: SparkSession, d: str) -> DataFrame:
     """Civil year of every distinct step of the hourly rows, by the calendar of its run; NULL for steps of a run that is not known."""
     steps = table(spark, d, "pr_hourly").select("run_id", "t_i").where(F.col("t_i").isNotNull()).distinct()
     runs = table(spark, d, "sim_run").select("run_id", "cal_name", "t0", "time_res_min").distinct()
-    return steps.join(runs, "run_id", "left").select("run_id", "t_i", "cal_name", F.when(F.col("t0").isNotNull(), civil_year("t_i")).alias("year"))
+    return steps.join(runs, "run_id", "left").select("run_id", "t_i", "cal_name", F.when(F.col("t0").isNotNull(), step_year(F.col("t_i"))).alias("year"))
 
 
 def q_union(spark: SparkSession, d: str) -> DataFrame:
@@ -245,10 +241,12 @@ def q_nearest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_rounded(spark: SparkSession, d: str) -> DataFrame:
-    """Events with coordinates of single precision found on the grid by their rounded values; NULL where there is none."""
-    axis = table(spark, d, "grid_cell").select(F.col("lat").alias("coord"), F.col("y").alias("i")).distinct()
-    lats = table(spark, d, "ordinary_event").select("lat").distinct()
-    return grid.rounded_match(lats, axis, "lat", 4).select(F.round("lat", 9).alias("lat"), "i")
+    """Coordinates of events, some of single precision, found on both axes of the grid by their rounded values; NULL where there is none."""
+    cells = table(spark, d, "grid_cell")
+    points = table(spark, d, "ordinary_event").select("lat", "lon").distinct()
+    for c, i in (("lat", "y"), ("lon", "x")):
+        points = grid.rounded_match(points, cells.select(F.col(c).alias("coord"), F.col(i).alias("i")).distinct(), c, 4).withColumnRenamed("i", i)
+    return points.select(F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), "y", "x")
 
 
 def q_affine(spark: SparkSession, d: str) -> DataFrame:
@@ -507,7 +505,8 @@ SQL = {
     "covariate_pre_window": f"with {_PAIRS} select cell, duration, s0, oe_i, round(pre, 6) as pre from pairs",
     "event_covariate_pairs": f"with {_PAIRS} select cell, duration, s0, round(oe, 8) as oe, round(pre, 6) as pre from pairs",
     "nearest_cell": f"with {_STATIONS} select s_suppkey, {_NEAR.format(n=8, c='lat', o='46.0')} as y, {_NEAR.format(n=9, c='lon', o='10.0')} as x from stations",
-    "rounded_key_match": "with a as (select distinct lat, y as i from grid_cell), l as (select distinct lat from ordinary_event) select round(l.lat, 9) as lat, i from l left join a on round(l.lat, 4) = round(a.lat, 4)",
+    "rounded_key_match": """with a as (select distinct lat, y from grid_cell), b as (select distinct lon, x from grid_cell), l as (select distinct lat, lon from ordinary_event)
+      select round(l.lat, 9) as lat, round(l.lon, 9) as lon, y, x from l left join a on round(l.lat, 4) = round(a.lat, 4) left join b on round(l.lon, 4) = round(b.lon, 4)""",
     "affine_cell": f"with {_STATIONS} select s_suppkey, cast(floor((46.5::double - lat) / 0.0275::double) as integer) as row, cast(floor((lon - 9.98::double) / 0.0275::double) as integer) as col from stations",
     "scaling_rates": "with t as (select model, duration_h, ln(oe::double) as y, t_pre24::double as x from tail_temp join sim_run using (run_id) where t_pre24 is not null and not isnan(t_pre24) and oe > 0), s as (select model, duration_h, regr_slope(y, x) as b, regr_intercept(y, x) as a, count(*) as n_events from t group by all having count(*) >= 50) select model, duration_h, round((exp(b) - 1) * 100, 3) as \"slope_pct_K\", round(a, 5) as intercept, n_events from s",
     "raster_bands": f"with {_LEVELS} select cast((case duration when 1 then 0 when 3 then 1 else 2 end) * 6 + list_position({PERIODS}, return_period) - 1 as integer) as band, 'RL_' || duration || 'h_' || return_period || 'yr' as band_name, cast(ny - 1 - cell // 5 as integer) as row, cell % 5 as col, round(level, 6) as level from levels, axis",
