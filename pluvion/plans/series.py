@@ -166,13 +166,12 @@ def stored_events(spark: SparkSession, d: str, s: dict = config.DEFAULTS) -> Dat
     return e.join(table(spark, d, "sim_run").select("run_id", "model", "period_name"), "run_id").join(cells, "cell_id")
 
 
-def stored_bootstrap(spark: SparkSession, d: str, s: dict = config.DEFAULTS) -> DataFrame:
-    """Intervals from the stored event table alone: a cell's events of all runs of a model and period, with the years of each run as blocks.
+def bootstrapped(e: DataFrame, cells: DataFrame, s: dict = config.DEFAULTS) -> DataFrame:
+    """Intervals of return levels: a cell's events of all runs of a model and period, with the years of each run as blocks.
 
-    Draws are seeded by duration, raster row (from the north) and column.
+    ``e`` has run_id, model, period_name, cell_id, y, x, duration_h, year and oe. Draws are seeded by duration, raster row (from the north) and column.
     """
-    e = stored_events(spark, d, s)
-    ny, nx = (table(spark, d, "grid_cell").agg((F.max(c) + 1).cast("bigint")).scalar() for c in ("y", "x"))
+    ny, nx = (cells.agg((F.max(c) + 1).cast("bigint")).scalar() for c in ("y", "x"))
     di = F.array_position(F.array(*[F.lit(h).cast("tinyint") for h in s["durations_h"]]), F.col("duration_h")) - 1
     e = e.withColumn("_ny", ny).withColumn("_nx", nx).withColumn("raster_no", (di * F.col("_ny") + F.col("_ny") - 1 - F.col("y")) * F.col("_nx") + F.col("x"))
     block = (F.col("run_id").cast("bigint") * 10_000 + F.col("year")).alias("block")
@@ -255,7 +254,7 @@ QUERIES = {
     "series_scaling_losses": q_losses,
     "series_metrics_ws1": lambda s, d: single_cell_metrics(_shared(s, d)).withColumn("oe", F.round(F.col("oe").cast("double"), 6)),
     "stored_levels": q_stored_levels,
-    "stored_bootstrap": lambda s, d: stored_bootstrap(s, d),
+    "stored_bootstrap": lambda s, d: bootstrapped(stored_events(s, d), table(s, d, "grid_cell")),
     "stored_subset": lambda s, d: subset(table(s, d, "ordinary_event"), *BOX).groupBy("run_id", "duration_h").agg(F.count("*").alias("n"), F.count("oe").alias("n_oe")),
     "run_axis": q_axis,
     "grid_transform": lambda s, d: rounded(grid.geotransform(table(s, d, "grid_cell")), 9),
