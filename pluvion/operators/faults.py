@@ -9,6 +9,7 @@ Every reading is judged against its source (model, for events model and duration
 * the longest unbroken stretch of equal readings that more than one in five hundred of its stretches reach; one longer by more than two is stuck.
 """
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,26 +65,32 @@ def readings(spark: SparkSession, sf_dir: str, tbl: str) -> DataFrame:
 
 
 def judged(df: DataFrame, tbl: str) -> DataFrame:
-    """Adds ok (possible), r (residual; NULL if impossible or without a level) and stretch (length of its stretch of equal readings)."""
-    lo, hi = POSSIBLE[tbl]
-    ok = F.col("v").between(lo, hi)
+    """model, series keys, t_i, v, month, stretch (length of its stretch of equal readings) and, for temperature, r (residual; NULL if impossible or alone).
+
+    The stretches come first: they need a series together, and that serves the hours of the day of a series as well.
+    """
     w = W.partitionBy(*SERIES).orderBy("ord", "t_i", "v")
-    df = df.withColumn("ok", ok)
+    df = df.withColumn("_new", F.when(F.col("v") == F.lag("v").over(w), 0).otherwise(1))
+    df = df.withColumn("_no", F.sum("_new").over(w)).withColumn("stretch", F.count("*").over(W.partitionBy(*SERIES, "_no")).cast("int")).drop("_new", "_no")
+    columns = ["model", *SERIES, "t_i", "v", "month", "stretch"]
     if tbl == "tas_steps":
-        same_hour = W.partitionBy(*SERIES, F.col("t_i") % 24).orderBy("t_i", "v")
-        x = F.when(F.col("ok"), F.col("v"))
+        same_hour = W.partitionBy(*SERIES, "_hour").orderBy("t_i", "v")
+        x = F.when(possible(tbl), F.col("v"))
         near = F.array_compact(F.array(*[f(x, k).over(same_hour) for k in (1, 2, 3) for f in (F.lag, F.lead)]))
-        df = df.withColumn("_near", near).withColumn("r", F.when(F.col("ok"), F.abs(F.col("v") - middle(F.col("_near"))))).drop("_near")
-    df = df.withColumn("_new", F.when(F.col("v") == F.lag("v").over(w), 0).otherwise(1))
-    df = df.withColumn("_no", F.sum("_new").over(w)).withColumn("stretch", F.count("*").over(W.partitionBy(*SERIES, "_no"))).drop("_new", "_no")
-    return df
+        df = df.withColumn("_hour", F.col("t_i") % 24).withColumn("_near", near).withColumn("r", F.abs(x - middle(F.col("_near"))))
+        columns.append("r")
+    return df.select(*columns)
+
+
+def possible(tbl: str) -> Column:
+    return F.col("v").between(*POSSIBLE[tbl])
 
 
 def seasonal(df: DataFrame, tbl: str) -> DataFrame:
     """r for precipitation and events: the value over the median of its source in the calendar month. Zeros have no residual."""
     if tbl == "tas_steps":
         return df
-    wet = F.when(F.col("ok") & (F.col("v") > 0), F.col("v"))
+    wet = F.when(possible(tbl) & (F.col("v") > 0), F.col("v"))
     level = df.groupBy(F.col("model").alias("_m"), F.col("duration_h").alias("_d"), F.col("month").alias("_month")).agg(F.percentile_approx(wet, 0.5, 1000).alias("_level"))
     level = written(level, "seasonal-level")
     on = F.col("model").eqNullSafe(F.col("_m")) & (F.col("duration_h") == F.col("_d")) & F.col("month").eqNullSafe(F.col("_month"))
@@ -93,7 +100,11 @@ def seasonal(df: DataFrame, tbl: str) -> DataFrame:
 def cutoffs(df: DataFrame, tbl: str) -> DataFrame:
     """One row per source: model, duration_h, cutoff (of the residual), longest (stretch still normal). Both from aggregates of all its readings."""
     levels = LEVELS[tbl]
-    fit = F.udf(lambda q: pareto_cutoff(*q, levels, RISK) if q else None, T.DoubleType())
+
+    @F.pandas_udf(T.DoubleType())
+    def fit(q: pd.Series) -> pd.Series:
+        return pd.Series([pareto_cutoff(*x, levels, RISK) if x is not None and len(x) else None for x in q], dtype=float)
+
     source = ["model", "duration_h"]
     tail = df.groupBy(*source).agg(F.percentile_approx("r", list(levels), ACCURACY).alias("q")).select(*source, fit("q").alias("cutoff"))
     # a stretch of n readings has n rows
@@ -120,7 +131,7 @@ def faulty(spark: SparkSession, sf_dir: str, tbl: str) -> DataFrame:
         df.join(cut, on, "left")
         .select(
             F.lit(tbl).alias("tbl"), *SERIES, "t_i", "v",
-            (~F.col("ok")).alias("impossible"),
+            (~possible(tbl)).alias("impossible"),
             F.coalesce(F.col("r") > F.col("cutoff"), F.lit(False)).alias("spike"),
             F.coalesce(F.col("stretch") > F.col("longest") + STRETCH_OVER, F.lit(False)).alias("stuck"),
         )
