@@ -124,9 +124,14 @@ def packed(sizes: DataFrame, capacities: dict[str, int], key: str) -> DataFrame:
     salted = placed.join(histogram.drop("cap"), same).withColumn("part", part).drop("n", "cap")
     parts = salted.groupBy(*same, "part").agg(F.count("*").alias("m"))
     parts = written(parts.withColumn("base", F.sum("m").over(W.partitionBy(*same).orderBy("part")) - F.col("m")), "parts")
-    # the slot ranges that a part's ranks reach, then each text takes the last range that begins at or before its rank
-    reach = slots.join(parts, same).where((F.col("a") < F.col("base") + F.col("m")) & (F.col("b") > F.col("base")))
-    reach = reach.select(*same, "part", F.greatest("a", "base").alias("rank"), F.lit(0).alias("is_text"), "a", "first", "per", "offset")
+    # the slot ranges that a part's ranks reach: the ends of the ranges and the first ranks of the parts are put in one order, and each end sees its part
+    ends = slots.select(*same, "a", "first", "per", "offset", F.explode(F.array("a", F.col("b") - 1)).alias("rank"))
+    order = W.partitionBy(*same).orderBy("rank", F.col("base").isNull()).rowsBetween(W.unboundedPreceding, 0)
+    marks = ends.unionByName(parts.select(*same, "part", "base", F.col("base").alias("rank")), allowMissingColumns=True)
+    marks = marks.withColumn("part", F.last("part", ignorenulls=True).over(order)).where(F.col("a").isNotNull())
+    spans = marks.groupBy(*same, "a", "first", "per", "offset").agg(F.explode(F.sequence(F.min("part"), F.max("part"))).alias("part"))
+    reach = spans.join(parts, [*same, "part"]).select(*same, "part", F.greatest("a", "base").alias("rank"), F.lit(0).alias("is_text"), "a", "first", "per", "offset")
+    # then each text takes the last range that begins at or before its rank
     in_part = W.partitionBy(*same, "part").orderBy(key, "piece")
     texts = salted.withColumn("_i", F.row_number().over(in_part)).join(parts, [*same, "part"])
     texts = texts.select(*same, "part", (F.col("base") + F.col("_i") - 1).alias("rank"), F.lit(1).alias("is_text"), key, "piece", "start_token")
