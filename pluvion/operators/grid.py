@@ -120,6 +120,11 @@ def geotransform(cells: DataFrame) -> DataFrame:
     return a.select((F.col("lon0") - F.col("dx") / 2).alias("west"), (F.col("lat1") + F.col("dy") / 2).alias("north"), "dx", "dy", "nx", "ny", (F.col("last") > F.col("first")).alias("flip"))
 
 
-def affine_cell(points: DataFrame, lat: str, lon: str, north: float, west: float, dy: float, dx: float) -> DataFrame:
+def affine_cell(points: DataFrame, lat: str, lon: str, north: float | Column, west: float | Column, dy: float | Column, dx: float | Column) -> DataFrame:
     """Adds ``row`` (from the north) and ``col`` of the raster cell that holds a point."""
-    return points.withColumn("row", F.floor((F.lit(north) - F.col(lat)) / F.lit(dy)).cast("int")).withColumn("col", F.floor((F.col(lon) - F.lit(west)) / F.lit(dx)).cast("int"))
+    row, col = (F.lit(north) - F.col(lat)) / F.lit(dy), (F.col(lon) - F.lit(west)) / F.lit(dx)
+    return points.withColumn("row", F.floor(row).cast("int")).withColumn("col", F.floor(col).cast("int"))
+
+
+def in_raster(points: DataFrame, ny: int | Column, nx: int | Column) -> DataFrame:
+    return points.where((F.col("row") >= 0) & (F.col("row") < F.lit(ny)) & (F.col("col") >= 0) & (F.col("col") < F.lit(nx)))

@@ -250,7 +250,11 @@ def q_rounded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_affine(spark: SparkSession, d: str) -> DataFrame:
-    return grid.affine_cell(stations(spark, d), "lat", "lon", 46.5, 9.98, 0.0275, 0.0275).select("s_suppkey", "row", "col")
+    """Raster row and column of the event coordinates by the grid's own transform; points outside the raster are left out."""
+    t = grid.geotransform(table(spark, d, "grid_cell"))
+    west, north, dx, dy, nx, ny = (t.select(c).scalar() for c in ("west", "north", "dx", "dy", "nx", "ny"))
+    points = table(spark, d, "ordinary_event").select("lat", "lon").distinct()
+    return grid.in_raster(grid.affine_cell(points, "lat", "lon", north, west, dy, dx), ny, nx).select(F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), "row", "col")
 
 
 def q_ws1(spark: SparkSession, d: str) -> DataFrame:
@@ -507,7 +511,10 @@ SQL = {
     "nearest_cell": f"with {_STATIONS} select s_suppkey, {_NEAR.format(n=8, c='lat', o='46.0')} as y, {_NEAR.format(n=9, c='lon', o='10.0')} as x from stations",
     "rounded_key_match": """with a as (select distinct lat, y from grid_cell), b as (select distinct lon, x from grid_cell), l as (select distinct lat, lon from ordinary_event)
       select round(l.lat, 9) as lat, round(l.lon, 9) as lon, y, x from l left join a on round(l.lat, 4) = round(a.lat, 4) left join b on round(l.lon, 4) = round(b.lon, 4)""",
-    "affine_cell": f"with {_STATIONS} select s_suppkey, cast(floor((46.5::double - lat) / 0.0275::double) as integer) as row, cast(floor((lon - 9.98::double) / 0.0275::double) as integer) as col from stations",
+    "affine_cell": """with g as (select min(lon) as lon0, max(lon) as lon1, min(lat) as lat0, max(lat) as lat1, count(distinct x) as nx, count(distinct y) as ny from grid_cell),
+      t as (select (lon1 - lon0) / (nx - 1) as dx, (lat1 - lat0) / (ny - 1) as dy, * from g), p as (select distinct lat, lon from ordinary_event),
+      c as (select lat, lon, nx, ny, cast(floor((lat1 + dy / 2 - lat) / dy) as integer) as row, cast(floor((lon - (lon0 - dx / 2)) / dx) as integer) as col from p, t)
+      select round(lat, 9) as lat, round(lon, 9) as lon, row, col from c where row between 0 and ny - 1 and col between 0 and nx - 1""",
     "scaling_rates": "with t as (select model, duration_h, ln(oe::double) as y, t_pre24::double as x from tail_temp join sim_run using (run_id) where t_pre24 is not null and not isnan(t_pre24) and oe > 0), s as (select model, duration_h, regr_slope(y, x) as b, regr_intercept(y, x) as a, count(*) as n_events from t group by all having count(*) >= 50) select model, duration_h, round((exp(b) - 1) * 100, 3) as \"slope_pct_K\", round(a, 5) as intercept, n_events from s",
     "raster_bands": f"with {_LEVELS} select cast((case duration when 1 then 0 when 3 then 1 else 2 end) * 6 + list_position({PERIODS}, return_period) - 1 as integer) as band, 'RL_' || duration || 'h_' || return_period || 'yr' as band_name, cast(ny - 1 - cell // 5 as integer) as row, cell % 5 as col, round(level, 6) as level from levels, axis",
     "calendar_years": f"select run_id, cal_name, {_calendar('0')} as first_year, {_calendar('n_steps - 1')} as last_year from sim_run",

@@ -153,6 +153,23 @@ def test_quantile_line_is_optimal():
         assert loss(*scaling.quantile_line(x, y, q)) <= min(loss(a, b) for a, b in lines) + 1e-9
 
 
+def test_slope_error_is_that_of_repeated_samples():
+    """Slopes of many samples scatter as the standard error says, and the interval holds the true slope about as often as it should."""
+    rng = np.random.default_rng(6)
+    for q in (0.5, 0.85):
+        slopes, errors, inside = [], [], 0
+        for _ in range(200):
+            x = rng.normal(size=300)
+            y = 1 + 0.5 * x + rng.normal(size=300)
+            a, b = scaling.quantile_line(x, y, q)
+            e = scaling.slope_error(x, y, q, a, b)
+            slopes.append(b)
+            errors.append(e)
+            inside += abs(b - 0.5) <= 1.96 * e
+        assert abs(np.mean(slopes) - 0.5) < 0.02 and 0.8 < np.median(errors) / np.std(slopes) < 1.25 and 0.9 <= inside / 200 <= 0.99
+    assert abs(scaling.student_975(48) - 2.010635) < 1e-5 and abs(scaling.student_975(200) - 1.971896) < 1e-6
+
+
 def test_regression_of_few_or_equal(rows):
     few = [("few", float(i), 1.0 + i) for i in range(10)] + [("equal", 1.0, 1.0 + i) for i in range(60)] + [("equal", None, 1.0), ("equal", 1.0, -1.0)]
     got = scaling.quantile_regression(rows(few, "k string, x double, y double"), ["k"], "x", "y", [0.9]).collect()
