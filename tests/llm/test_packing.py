@@ -1,6 +1,7 @@
 import random
 from collections import Counter, defaultdict
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -27,7 +28,12 @@ def test_plan_places_every_rank_once_without_overlap(histogram):
     assert len(slots) <= 2 * -(-total // 64) + 1
 
 
-def test_documents_take_the_slots(rows):
+@pytest.mark.parametrize("part_rows", [50_000, 70])
+def test_documents_take_the_slots(rows, monkeypatch, part_rows):
+    """Lengths ranked in one part each, and in many."""
+    from pluvion.llm import packing
+
+    monkeypatch.setattr(packing, "PART_ROWS", part_rows)
     rng = random.Random(4)
     sizes = [(i, rng.choice([5, 5, 5, 9, 30, 64, 65, 200, 0])) for i in range(3000)] + [(None, 7), (1, 5), (1, 5)]
     out = packed(rows(sizes, "id long, n_tokens int"), {"s": 64, "l": 100}, "id").collect()
