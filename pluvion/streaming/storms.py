@@ -23,8 +23,8 @@ from pluvion.scratch import shared_path, written
 #: The marker row of the end of a bounded replay: it moves the watermark past every timer. The latest year that pandas can hold.
 END_OF_INPUT = "2262-01-01 00:00:00"
 HOUR_MS = 3_600_000
-#: Rows of a slice of a replay, and of a state key in one.
-SLICE_ROWS, KEY_ROWS = 50_000_000, 8192
+#: Rows of a slice of a replay, of a part of a slice, and of a state key in one.
+SLICE_ROWS, PART_ROWS, KEY_ROWS = 50_000_000, 1_000_000, 8192
 
 
 def packed(rows: pd.DataFrame) -> bytes:
@@ -94,8 +94,12 @@ def sessions(events: DataFrame, keys: list[str], hour: str, gap: int, delay: str
     )
 
 
-def feed(rows: DataFrame, slices: int, bounds: list[int]) -> tuple[str, int]:
-    """Writes the hours to the shared folder, one slice of time after the other, and the marker last; gives the folder and the files of a slice on average."""
+def feed(rows: DataFrame, keys: list[str], bounds: list[int], slice_rows: int) -> tuple[str, int]:
+    """Writes the hours to the shared folder, one slice of time after the other, and the marker last; gives the folder and the files of a slice on average.
+
+    The slices are shuffled apart first, each in parts of about ``PART_ROWS`` rows, so that the number of files grows with the rows only.
+    """
+    slices = len(bounds) + 1
     spark = rows.sparkSession
     path = shared_path(spark, "hours")
     if slices == 1:
@@ -104,7 +108,8 @@ def feed(rows: DataFrame, slices: int, bounds: list[int]) -> tuple[str, int]:
         no = F.lit(0)
         for b in bounds:
             no = no + F.when(F.col("_hour") > b, 1).otherwise(0)
-        staged = written(rows.withColumn("_slice", no).repartition("_slice", *rows.columns), "staged-hours", ["_slice"])
+        part = F.pmod(F.xxhash64(*keys), F.lit(max(1, slice_rows // PART_ROWS)))
+        staged = written(rows.withColumn("_slice", no).repartition("_slice", part), "staged-hours", ["_slice"])
         for i in range(slices):
             staged.where(F.col("_slice") == i).select(*rows.columns).write.mode("append").parquet(path)
     files = -(-len(spark.read.schema(rows.schema).parquet(path).inputFiles()) // slices)
@@ -132,10 +137,9 @@ def replay_sessions(table: DataFrame, active: Column, keys: list[str], hour: str
     if slices > 1:
         # as many numbers as slices less one
         bounds = sorted(set(rows.agg(F.percentile_approx("_hour", [i / slices for i in range(1, slices)], 100 * slices)).first()[0]))
-        slices = len(bounds) + 1
-    path, files = feed(rows, slices, bounds)
+    path, files = feed(rows, keys, bounds, slice_rows)
     # files are read in the order in which they were written; a micro-batch that ends within a slice must not make the rest of it late
-    span = max(b - a for a, b in zip([lo, *bounds], [*bounds, hi])) if slices > 1 else 0
+    span = max(b - a for a, b in zip([lo, *bounds], [*bounds, hi])) if bounds else 0
     per_key = 64 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     events = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
     found = sessions(events, keys, "_hour", gap, f"{span} hours", max(per_key, min(n, slice_rows) // KEY_ROWS, n // (64 * KEY_ROWS)))
