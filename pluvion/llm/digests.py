@@ -11,6 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,32 +99,38 @@ def digests(rows: DataFrame, keys: list[str], value: str, k: int = K) -> DataFra
     leaves = rows.where(valid(value)).select(*keys, (code(F.col(value)) + (1 << BITS)).cast("int").alias("node"))
     schema = T.StructType([*leaves.schema.fields, T.StructField("n", T.LongType())])
 
-    def folded(parts: list[pd.DataFrame]) -> pd.DataFrame:
-        return pd.concat(parts).groupby([*keys, "node"], dropna=False, sort=False, as_index=False)["n"].sum()
+    def folded(parts: list[pa.Table]) -> pa.Table:
+        out = pa.concat_tables(parts).group_by([*keys, "node"], use_threads=False).aggregate([("n", "sum")])
+        return out.select([*keys, "node", "n_sum"]).rename_columns([*keys, "node", "n"])
 
-    def smaller(held: pd.DataFrame) -> pd.DataFrame:
+    def smaller(held: pa.Table) -> pa.Table:
         # a group of fewer rows than k has nothing to compress
+        rows = held.group_by(keys, use_threads=False).aggregate([("n", "sum")])
+        if pc.max(rows["n_sum"]).as_py() < k:
+            return held
         out = []
-        for _, g in held.groupby(keys, dropna=False, sort=False) if keys else [((), held)]:
+        for _, g in held.to_pandas().groupby(keys, dropna=False, sort=False):
             if g["n"].sum() >= k:
                 node, n = compressed(g["node"].to_numpy(np.int64), g["n"].to_numpy(np.int64), k)
                 g = g.iloc[: len(node)].assign(node=node.astype(np.int32), n=n)
             out.append(g)
-        out = pd.concat(out) if out else held
-        return out.assign(**{k: out[k].astype(object).where(out[k].notna(), None) for k in keys})
+        out = pd.concat(out)
+        out = out.assign(**{c: out[c].astype(object).where(out[c].notna(), None) for c in keys})
+        return pa.Table.from_pandas(out, schema=held.schema, preserve_index=False)
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts, size = [], 0
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size, most = [], 0, TASK_NODES
         for b in batches:
-            parts.append(b.groupby([*keys, "node"], dropna=False, sort=False, as_index=False).size().rename(columns={"size": "n"}))
-            size += len(parts[-1])
-            if size > TASK_NODES:
-                held = smaller(folded(parts))
-                parts, size = [held], 0
-        if parts:
-            yield smaller(folded(parts))
-
-    return merge(leaves.mapInPandas(task, schema), keys, k)
+            parts.append(pa.Table.from_batches([b]).append_column("n", pa.array(np.ones(b.num_rows, np.int64))))
+            size += b.num_rows
+            if size > most:
+                parts = [smaller(folded(parts))]
+                size = parts[0].num_rows
+                most = max(TASK_NODES, 2 * size)
+        if size:
+            yield from smaller(folded(parts)).to_batches()
+
+    return merge(leaves.mapInArrow(task, schema), keys, k)
 
 
 def merge(parts: DataFrame, keys: list[str], k: int = K) -> DataFrame:
