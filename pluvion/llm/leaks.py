@@ -28,7 +28,7 @@ DOZEN = 12
 #: Score of a matched word that belongs to a form alone; of an altered one (and its weight's share); of an added or lost one.
 FORM, ALTERED, ALTERED_OWN, GAP = 0.2, -0.5, -1.5, -1.0
 #: Score of a passage; weight of its own words; weights under the last count as none.
-LEAST, OWN, FAINT = 5.0, 2.5, 0.25
+LEAST, OWN, FAINT = 4.25, 2.5, 0.25
 #: Own weight of a window that is a pattern, and of all windows of an item near each other that call for an alignment. Both lie well under what a passage has.
 PATTERN_OWN, NEAR_OWN = 1.25, 1.5
 #: Words between seeds of one passage, and words looked at beyond the outermost seeds.
