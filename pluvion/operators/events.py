@@ -6,9 +6,9 @@ from pyspark.sql import Window as W
 
 
 def in_storms(cube: DataFrame, keys: list[str], wet: Column, sep: int, t: str = "t") -> DataFrame:
-    """The rows of a dense cube that lie in a storm, with ``no``, ``s0`` and ``s1``.
+    """The rows of a cube that lie in a storm, with ``no``, ``s0`` and ``s1``.
 
-    Wet steps belong together unless more than ``sep`` steps apart; equality stays together. Dry steps between are kept. One sort per series.
+    Wet steps belong together unless more than ``sep`` steps apart; equality stays together. Dry steps between are kept, where the cube has them. One sort per series.
     """
     w = W.partitionBy(*keys).orderBy(t)
     at = F.when(wet, F.col(t))
@@ -19,6 +19,16 @@ def in_storms(cube: DataFrame, keys: list[str], wet: Column, sep: int, t: str =
     return rows.withColumn("s0", F.min("_at").over(storm)).withColumn("s1", F.max("_at").over(storm)).where(F.col(t) <= F.col("s1")).drop("_at", "_new")
 
 
+def filled(rows: DataFrame, keys: list[str], t: str = "t", v: str = "v") -> DataFrame:
+    """keys, no, s0, s1, t, v: the rows of storms with a row of 0 for every step inside a storm that has none. ``rows`` come from ``in_storms`` over the stored steps alone.
+
+    Steps that are not stored are dry, so storms can be found without them, and only those between two rows of one storm are made. No join, no further shuffle.
+    """
+    until = F.coalesce(F.lead(t).over(W.partitionBy(*keys, "no").orderBy(t)) - 1, F.col(t))
+    every = rows.withColumn("_until", until).withColumn("_t", F.explode(F.sequence(t, "_until")))
+    return every.select(*keys, "no", "s0", "s1", F.col("_t").alias(t), F.when(F.col("_t") == F.col(t), F.col(v)).otherwise(F.lit(0)).alias(v))
+
+
 def storms(wet_steps: DataFrame, keys: list[str], sep: int, t: str = "t") -> DataFrame:
     """keys, s0, s1, n_wet from the wet steps alone."""
     w = W.partitionBy(*keys).orderBy(t)

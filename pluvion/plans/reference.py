@@ -60,8 +60,8 @@ def storms(s: DataFrame, least: int = WET) -> DataFrame:
 def ordinary(s: DataFrame) -> DataFrame:
     """cell, y, x, duration, s0, s1, total, oe, oe_i, year (of the peak), key_no, raster_no (duration, row from the north, column); written once for a query."""
     lo, hi, ny = extent(s)
-    inside = ev.in_storms(cube(s), CELL, grid.is_wet(F.col("v"), WET), SEP)
-    rows = ev.peaks(ev.away_from_edges(inside, SEP, lo, hi), CELL, DURATIONS)
+    inside = ev.in_storms(s.select("cell", "t", "v"), CELL, grid.is_wet(F.col("v"), WET), SEP)
+    rows = ev.peaks(ev.filled(ev.away_from_edges(inside, SEP, lo, hi), CELL), CELL, DURATIONS)
     x = F.col("total").cast("double") / (F.col("duration") * F.lit(1e6))
     di = F.array_position(F.array(*map(F.lit, DURATIONS)), F.col("duration")) - 1
     rows = rows.select(

@@ -5,7 +5,7 @@ are taken as the means over its window. An hour that is not stored is dry; one s
 stays missing through drizzle, storms and moving sums. Of rows for the same hour the one loaded last counts. Amounts are whole ten-thousandths of a mm/h.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -49,9 +49,7 @@ def storm_rows(spark: SparkSession, d: str, s: dict) -> DataFrame:
     inside = ev.in_storms(hours(spark, d, s["min_rain"]), SERIES, grid.is_wet(F.col("v"), 0), sep)
     inside = ev.longer_than(inside, steps).join(runs(spark, d).select("run_id", "n_steps"), "run_id")
     inside = ev.away_from_edges(inside, sep, 0, F.col("n_steps") - 1)
-    until = F.coalesce(F.lead("t").over(W.partitionBy(*SERIES, "no").orderBy("t")) - 1, F.col("t"))
-    filled = inside.withColumn("_until", until).withColumn("_t", F.explode(F.sequence("t", "_until")))
-    return filled.select(*SERIES, "no", "s0", "s1", F.col("_t").alias("t"), F.when(F.col("_t") == F.col("t"), F.col("v")).otherwise(F.lit(0)).alias("v"))
+    return ev.filled(inside, SERIES)
 
 
 def events(spark: SparkSession, d: str, s: dict = config.DEFAULTS) -> DataFrame:
