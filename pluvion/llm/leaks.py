@@ -34,7 +34,7 @@ PATTERN_OWN, NEAR_OWN = 1.25, 1.5
 #: Words between seeds of one passage, and words looked at beyond the outermost seeds.
 NEAR, BEYOND = 40, 16
 #: Words of items searched for in one pass over the corpus; more take further passes. Size of the whole item table, in characters, beyond which it is refused.
-PASS_WORDS, MOST_TEXT = 4_000_000, 1 << 30
+PASS_WORDS, MOST_TEXT = 1_000_000, 1 << 27
 #: Words of a lane of the search.
 LANE = 1024
 #: Neighbours that a word is predicted from, by their distance.
@@ -52,9 +52,50 @@ def own_words(items: list[tuple[int, str | None]]) -> list[tuple[int, list[str]]
     return out
 
 
-def groups_of(texts: list[list[str]]) -> list[int]:
-    """A group number for each text: texts with half of their running dozens in common are near-duplicates. One pass; each dozen points to its first holder."""
-    group, first, number = list(range(len(texts))), {}, []
+class Flat:
+    """Some texts as one run of word numbers: ids, the text of each place, and where each text begins and ends."""
+
+    def __init__(self, texts: list[list[str]]) -> None:
+        numbers: dict[str, int] = {}
+        self.sizes = np.array([len(ws) for ws in texts], dtype=np.int64)
+        self.end = np.cumsum(self.sizes)
+        self.begin = self.end - self.sizes
+        self.ids = np.fromiter((numbers.setdefault(w, len(numbers) + 1) for ws in texts for w in ws), dtype=np.uint64, count=int(self.sizes.sum()))
+        self.text = np.repeat(np.arange(len(texts)), self.sizes)
+
+
+def mixed(h: np.ndarray, x: np.ndarray | int) -> np.ndarray:
+    """A 64-bit hash of a hash and one more number."""
+    h = (h ^ (np.asarray(x, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return h ^ (h >> np.uint64(31))
+
+
+def times(h: np.ndarray) -> np.ndarray:
+    """For each number, how often it occurs."""
+    _, inverse, n = np.unique(h, return_inverse=True, return_counts=True)
+    return n[inverse]
+
+
+def groups_of(flat: Flat) -> np.ndarray:
+    """A group number for each text: texts with half of their running dozens in common are near-duplicates. Each dozen points to the first text that holds it.
+
+    A text of fewer words is one dozen. Dozens are compared by 64-bit hashes.
+    """
+    texts = len(flat.sizes)
+    width = np.minimum(flat.sizes, DOZEN)
+    start = np.flatnonzero(np.arange(len(flat.ids)) + width[flat.text] <= flat.end[flat.text])
+    h = np.zeros(len(start), dtype=np.uint64)
+    for j in range(DOZEN):
+        inside = j < width[flat.text[start]]
+        h[inside] = mixed(h[inside], flat.ids[start[inside] + j])
+    pairs = np.unique(np.stack([h, flat.text[start].astype(np.uint64)]), axis=1)
+    h, holder = pairs[0], pairs[1].astype(np.int64)
+    number = np.bincount(holder, minlength=texts)
+    fresh = np.append(True, h[1:] != h[:-1]) if len(h) else np.zeros(0, bool)
+    first = holder[np.maximum.accumulate(np.where(fresh, np.arange(len(h)), 0))] if len(h) else holder
+    later = first != holder
+    both, shared = np.unique(np.stack([holder[later], first[later]]), axis=1, return_counts=True)
+    group = list(range(texts))
 
     def root(n: int) -> int:
         while group[n] != n:
@@ -62,47 +103,31 @@ def groups_of(texts: list[list[str]]) -> list[int]:
             n = group[n]
         return n
 
-    for n, ws in enumerate(texts):
-        dozens = {hash(tuple(ws[p : p + DOZEN])) for p in range(max(1, len(ws) - DOZEN + 1))}
-        number.append(len(dozens))
-        holders = Counter(first[d] for d in dozens if d in first)
-        for d in dozens:
-            first.setdefault(d, n)
-        for m, shared in holders.items():
-            if 2 * shared >= max(number[n], number[m]):
-                group[root(n)] = root(m)
-    return [root(n) for n in range(len(texts))]
+    for n, m in both[:, 2 * shared >= np.maximum(number[both[0]], number[both[1]])].T.tolist():
+        group[root(n)] = root(m)
+    return np.array([root(n) for n in range(texts)], dtype=np.int64)
 
 
 def own_weights(texts: list[list[str]]) -> list[np.ndarray]:
-    """For each word of each text, 1 less its greatest chance given some neighbours, as the texts of other groups have it. Neighbours that others lack say nothing."""
-
-    def places(ws: list[str]) -> Iterator[tuple[int, int, tuple, str]]:
-        for kind, offsets in enumerate(NEIGHBOURS):
-            for p in range(max(0, -min(offsets)), len(ws) - max(0, *offsets)):
-                yield p, kind, (kind, *[ws[p + o] for o in offsets]), ws[p]
-
-    around, both = Counter(), Counter()
-    members = defaultdict(list)
-    for n, g in enumerate(groups_of(texts)):
-        members[g].append(n)
-    for ws in texts:
-        for _, _, near, w in places(ws):
-            around[near] += 1
-            both[near, w] += 1
-    out = [np.zeros(0)] * len(texts)
-    for ns in members.values():
-        here, here_both = Counter(), Counter()
-        for n in ns:
-            for _, _, near, w in places(texts[n]):
-                here[near] += 1
-                here_both[near, w] += 1
-        for n in ns:
-            chance = np.zeros(len(texts[n]))
-            for p, _, near, w in places(texts[n]):
-                chance[p] = max(chance[p], (both[near, w] - here_both[near, w]) / (around[near] - here[near] + 2))
-            out[n] = np.where(1 - chance < FAINT, 0.0, 1 - chance)
-    return out
+    """For each word of each text, 1 less its greatest chance given some neighbours, as the texts of other groups have it. Neighbours that others lack say nothing.
+
+    Neighbours are compared by 64-bit hashes; a few arrays of one number a word are all that is held.
+    """
+    flat = Flat(texts)
+    group = groups_of(flat)[flat.text].astype(np.uint64)
+    chance = np.zeros(len(flat.ids))
+    places = np.arange(len(flat.ids))
+    for offsets in NEIGHBOURS:
+        at = places[(places + min(offsets) >= flat.begin[flat.text]) & (places + max(offsets) < flat.end[flat.text])]
+        near = np.zeros(len(at), dtype=np.uint64)
+        for o in offsets:
+            near = mixed(near, flat.ids[at + o])
+        word = mixed(near, flat.ids[at])
+        others = times(near) - times(mixed(near, group[at]))
+        with_word = times(word) - times(mixed(word, group[at]))
+        chance[at] = np.maximum(chance[at], with_word / (others + 2))
+    weights = np.where(1 - chance < FAINT, 0.0, 1 - chance)
+    return np.split(weights, flat.end[:-1]) if texts else []
 
 
 class Patterns:
