@@ -242,7 +242,7 @@ QUERIES = {
     "series_hours": lambda s, d: hours(s, d, config.DEFAULTS["min_rain"]),
     "series_events": lambda s, d: stated(events(s, d)).withColumn("oe", F.round(F.col("oe").cast("double"), 6)),
     "series_maxima": lambda s, d: stated(maxima(_shared(s, d))).withColumn("oe", F.round(F.col("oe").cast("double"), 6)),
-    "series_parameters": lambda s, d: rounded(parameters(_shared(s, d))),
+    "series_parameters": lambda s, d: rounded(parameters(_shared(s, d)), mam=9),
     "series_levels": q_levels,
     "series_storm_years": q_storm_years,
     "series_pairs": lambda s, d: rounded(pairs(s, d, _shared(s, d)).select(*KEY, "oe_i", "oe", "t_pre24"), 9),
@@ -330,7 +330,7 @@ SQL = {
     "series_events": f"with {_EVENTS} select {_STATED} from event",
     "series_maxima": f"with {_EVENTS}, {_MAXIMA} select {_STATED} from maximum",
     "series_parameters": f"""with {_EVENTS}, {_MAXIMA}, {_fit('event', _K)}, mam as (select {_K}, sum(total)::bigint::double / (count(*) * duration_h * {float(UNIT)}::double) as mam from maximum group by {_K})
-      select {_K}, n, n_used, round(shape, 6) as shape, round(scale, 6) as scale, round(per_year, 6) as per_year, round(mam, 6) as mam from fits join mam using ({_K})""",
+      select {_K}, n, n_used, round(shape, 6) as shape, round(scale, 6) as scale, round(per_year, 6) as per_year, round(mam, 9) as mam from fits join mam using ({_K})""",
     "series_levels": f"with {_EVENTS}, {_fit('event', _K)} select {_K}, return_period, {_LEVEL} from (select *, unnest({_S['return_periods']}) as return_period from fits)",
     "series_storm_years": f"""with {_HOURS}, {_STORMS}, z as (select run_id, cell_id, {_year('s0')} as year, 1 as a, 0 as b from storm join sim_run using (run_id)
       union all select run_id, cell_id, {_year('s1')}, 0, 1 from storm join sim_run using (run_id)) select run_id, cell_id, year, cast(sum(a) as bigint) as n_begun, cast(sum(b) as bigint) as n_ended from z group by all""",
