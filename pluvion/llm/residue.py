@@ -1,10 +1,11 @@
 """Template residue, filler, error pages and script notices in place of content (problem 9).
 
-Labelled exemplars of residue, ``EXEMPLARS``, are indexed by their words. A document is split into its message and its diff; each is unwrapped into passages
-(sentences), and windows of ``WINDOW`` words are moved over each passage. For every window the index retrieves the exemplars that share words with it. The
-window's containment in an exemplar is the share of its TF-IDF weight that the exemplar's words cover; document frequencies are those of the whole corpus. A
-part of a document is residue when windows of high containment cover nearly all of its weight. Template fields are read as one word of its own, digits and
-pseudo-Latin words too; a window with a field is held against forms to be filled in, and against sentences that talk about fields.
+Labelled exemplars of residue, ``EXEMPLARS``, are indexed by their words and pairs of neighbouring words. A document is split into its message and its diff; each
+is unwrapped into passages (sentences), and windows of ``WINDOW`` words are moved over each passage. For every window the index retrieves the exemplars that share
+words or pairs with it. The window's containment in those of one label is the share of its TF-IDF weight that their words cover, and the share that their
+pairs cover; document frequencies are those of the whole corpus. A part of a document is residue when contained windows cover nearly all of its weight.
+Template fields are read as one word of its own, digits and pseudo-Latin words too; a window with a field is held against forms to be filled in, and against
+sentences that talk about fields.
 """
 
 import math
@@ -22,19 +23,25 @@ from pluvion.sources.tables import table
 #: talk about fields; doodles are filler where there are three words at least. The sample is bounded by being written out here.
 EXEMPLARS = {
     "page": """
-HTTP status 9 error 9 detail bad request, gone, not found, page not found, bad gateway, gateway timed out, gateway timeout, too many requests, forbidden, unauthorized
+HTTP status 9 error 9 detail bad request, gone, not found, page not found, bad gateway, gateway timed out, gateway time-out, timeout, too many requests, forbidden, unauthorized
 Access denied. Sign-in needed. Sign in to continue. Login required. 9 forbidden unauthorized HTTP error status detail
 9 Service unavailable. Service temporarily unavailable. Internal server error. Bad gateway. nginx apache cloudflare openresty varnish HTTP error status
-Oops! Something went wrong on our side. Whoops, looks like something went wrong. An unexpected error occurred. Please try again later.
+Oops! Something went wrong on our side. Whoops, looks like something went wrong. We're sorry, but something went wrong. An unexpected error occurred. Please try again later.
+An error occurred while processing your request. Your request could not be processed, has been blocked. Attention required! cloudflare
+The server is temporarily unable to service your request due to maintenance downtime or capacity problems. Please try again later. Service unavailable.
+This site, page, content is under maintenance, under construction, coming soon, not available right now. Check back soon.
+Sorry, we couldn't find that page. Page not found. The link may be broken, or the page may have been removed.
+You must be logged in to view this page. Please log in to continue. You don't have permission to access this page, server. Access denied.
+Loading, please wait...
 Sorry, you have been rate limited. Too many requests. Slow down and try again in a few minutes.
 Traceback (most recent call last): render(commit) RenderTimeout TemplateFault BackendGone: could not render this page
 Try again in a few minutes. If this keeps happening, contact the site owner or administrator. Reference: idtoken
-Your session has ended, log in again. Your session has expired, please sign in again. Access denied.
+Your session has ended, log in again. Your session has expired, has timed out, please sign in again. Access denied.
 The upstream did not answer in time. The server did not respond in time. The request timed out. The connection timed out.
-The diff service is down for maintenance. The site is temporarily down for scheduled maintenance, please check back later.
+The diff service is down for maintenance. The site is temporarily down for scheduled maintenance, please check back later. We are currently performing maintenance.
 We could not load this commit. We could not load or show this page, file, diff. Failed to load. Reload the page.
-Error establishing a database connection. Could not connect to the database server.
-The page you are looking for does not exist, was moved or removed. The page you requested could not be found. Sorry, this page is not available.
+Error establishing a database connection.
+The page you are looking for does not exist, was moved or removed. This page has moved or no longer exists. The page you requested could not be found. Sorry, this page is not available.
 The requested URL was not found on this server. The requested resource could not be found. You do not have permission to access this resource on this server.
 This site can't be reached. This page isn't working. The connection was reset. Check your connection.
 Application error: an exception has occurred, see the browser console for more information.
@@ -52,6 +59,7 @@ Our code browser, the diff viewer, the commit view, this site page, cannot be sh
 You need to enable JavaScript to run this app. Please enable JavaScript to continue, to view or use this page, site, application. JavaScript is required.
 Please enable scripts and refresh. Please turn it on, turn JavaScript on, allow scripts and reload the page. Allow scripts for this host to continue.
 JavaScript is disabled or not supported in your browser. Please enable it, and cookies, in your browser settings and try again.
+JavaScript must be enabled in order to use this site. JavaScript is turned off. This site requires JavaScript to be enabled. Your browser does not support JavaScript. Enable JavaScript and cookies to continue.
 Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen. Diese Ansicht braucht aktivierte Skripte.
 Activez JavaScript pour voir cette page. Cette vue exige que les scripts soient autorisés.
 Active JavaScript para ver este cambio, esta página. Esta vista necesita que los scripts estén permitidos.
@@ -62,11 +70,12 @@ Text goes here. Your text here. Some text to be written. Content to follow. Samp
 Heading one. Heading two. Paragraph one. Paragraph two.
 This is only sample wording to fill the space. This text is a placeholder, to be replaced later.
 TODO: describe your changes here. Please describe the change. Add a description. Enter a title, message or summary here. Write something.
-asdf qwe zxc rty fghj jkl vbnm qwerty asdfgh
+Insert a description here. Title of the change goes here. Please describe your changes and why they are needed.
+Please enter the commit message for your changes. Lines starting with # will be ignored, and an empty message aborts the commit.
 Hier steht bald ein Text. Hier folgt der Text.
 Texte à venir. Insérer le texte ici.
 Texto de relleno. Escriba el texto aquí.
-latinword lorem ipsum dolor sit amet consectetur elit sed ut et in
+latinword latinword lorem ipsum dolor sit amet consectetur elit sed ut et in
 """,
     "form": """
 ticket field
@@ -75,6 +84,7 @@ reported in field by field
 see field and field for details
 hello field, please look at field before field
 closes field, requested by field
+fixes field
 release field of
 sync to field
 label field
@@ -88,22 +98,26 @@ document the field placeholder
 replace field with
 """,
     "doodle": """
-aaa bar baz bla blah foo qwer test xxx zzz
+aaa bar baz bla blah foo qwer test xxx zzz asdf qwe zxc rty fghj jkl vbnm qwerty asdfgh
 """,
 }
 #: The syllables of pseudo-Latin.
 SYLLABLES = "lorem ipsum dolor sit amet consectetur cons adip elit sed tempor temp inc incididunt ut labore lab et dol dolore mag magna aliqua ali enim ven veniam quis qua nost nostrud ull ullamco lor ect ectetur iscing a or um is es us e i o".split()
 #: How an unfilled field is written.
 FIELD = re.compile(
-    r"\{\{\s*[\w.]+\s*\}\}|\$\{\w+\}|#\{[\w.]+\}|%\(\w+\)s|<%=?\s*\w+\s*%>|<!--[^<>]*?-->|<(?:insert|your|enter|add|describe) [\w ]+>|<[A-Z_]{3,}>"
+    r"\{\{\s*[\w.]+\s*\}\}|\$\{\w+\}|#\{[\w.]+\}|%\(\w+\)s|<%=?\s*\w+\s*%>|<!--[^<>]*?-->|<(?i:insert|your|enter|add|describe) [\w ]+>|<[A-Z_]{3,}>"
     r"|\[[\w ]+ (?:goes )?here\]|\[(?:YOUR|your|insert|INSERT) [\w ]+\]|__[A-Z]{3,}__|@@[A-Z]{3,}@@|(?<![{$#\w])\{[a-z_]{3,}\}"
 )
+#: Numbers, and servers that sign their pages.
+BETWEEN = {"9", "nginx", "apache", "cloudflare", "openresty", "varnish"}
 #: Words of a window.
 WINDOW = 8
-#: Containment of a window, and share of a part's weight that such windows must cover.
-CONTAINMENT, COVERAGE = 0.8, 0.85
-#: Containment of a window in a form that has words of its own and stands whole in the window, with other words in between.
-FILLED = 0.45
+#: Containment of a window by words and by pairs of words, and share of a part's weight that such windows must cover.
+CONTAINMENT, SIDES, COVERAGE = 0.75, 0.4, 0.8
+#: Pairs of words under which a window must have all of its pairs in exemplars.
+FEW = 3
+#: Containment of a window with a field in a form, and of one in a form that has words of its own and stands whole in the window, with other words in between.
+FORM, FILLED = 0.8, 0.45
 #: Words of six letters or more made of syllables alone that make a part pseudo-Latin; words of a doodle.
 LATIN_WORDS, DOODLE = 3, 3
 #: What stands for content that is not there.
@@ -127,18 +141,19 @@ def features(passage: str, latin: bool = False) -> list[str]:
     return ["latinword" if latin and _LATIN.fullmatch(w) else w for w in fs]
 
 
-def exemplars() -> list[tuple[str, frozenset[str]]]:
-    """Label and words of every exemplar. In a form or a mention the word "field" is a field."""
+def exemplars() -> list[tuple[str, frozenset[str], frozenset[tuple[str, str]]]]:
+    """Label, words and pairs of words of every exemplar. In a form or a mention the word "field" is a field."""
     out = []
     for label, texts in EXEMPLARS.items():
         for t in texts.strip().split("\n"):
             t = re.sub(r"\bfield\b", "\x02", t) if label in ("form", "mention") else t
-            out.append((label, frozenset(features(t))))
+            clauses = [features(c) for c in re.split(r"[.,;!?()]+", t)]
+            out.append((label, frozenset(features(t)), frozenset(p for c in clauses for p in pairs(c))))
     return out
 
 
 def vocabulary() -> list[str]:
-    return sorted(set().union(*(words for _, words in exemplars())))
+    return sorted(set().union(*(words for _, words, _ in exemplars())))
 
 
 def repaired(text: str) -> str:
@@ -195,23 +210,29 @@ def windows(fs: list[str]) -> list[tuple[int, list[str]]]:
     return [(i, fs[i : i + WINDOW]) for i in range(max(1, len(fs) - WINDOW + 1))]
 
 
+def pairs(fs: list[str]) -> list[tuple[str, str]]:
+    """Words that stand side by side; numbers and names of servers between them do not count."""
+    ws = [w for w in fs if w not in BETWEEN]
+    return list(zip(ws, ws[1:]))
+
+
 class Index:
-    """Inverted index of the exemplars, with the weights of their words."""
+    """Inverted index of the exemplars, by their words and pairs of words, with the weights of the words."""
 
     def __init__(self, weights: dict[str, float], unseen: float) -> None:
         self.exemplars, self.weights, self.unseen = exemplars(), weights, unseen
-        self.whole = [sum(map(self.weight, ws)) for _, ws in self.exemplars]
-        self.postings: dict[str, list[int]] = {}
-        for n, (_, ws) in enumerate(self.exemplars):
-            for w in ws:
+        self.whole = [sum(map(self.weight, ws)) for _, ws, _ in self.exemplars]
+        self.postings: dict[str | tuple[str, str], list[int]] = {}
+        for n, (_, ws, ps) in enumerate(self.exemplars):
+            for w in ws | ps:
                 self.postings.setdefault(w, []).append(n)
-        self.known = {labels: {w for label, ws in self.exemplars if label in labels for w in ws} for labels in (RESIDUE, ("doodle",))}
+        self.known = {labels: {w for label, ws, _ in self.exemplars if label in labels for w in ws} for labels in (RESIDUE, ("doodle",))}
 
     def weight(self, w: str) -> float:
         return self.weights.get(w, self.unseen)
 
     def containments(self, window: list[str]) -> dict[int, float]:
-        """The share of a window's weight that each exemplar covers, of those that share a word with it."""
+        """The share of a window's weight that each exemplar covers by its words, of those that share a word with it."""
         score: dict[int, float] = {}
         total = 0.0
         for w in window:
@@ -224,6 +245,21 @@ class Index:
     def best(self, window: list[str], labels: tuple[str, ...]) -> float:
         return max((x for n, x in self.containments(window).items() if self.exemplars[n][0] in labels), default=0.0)
 
+    def contained(self, window: list[str], labels: tuple[str, ...]) -> bool:
+        """Whether the exemplars of one label that the window retrieves cover enough of its words, and of its pairs of words (of a few, all). A pair weighs as its lighter word."""
+        ps = [] if labels == ("doodle",) else pairs(window)
+        word_total, pair_total = sum(map(self.weight, window)), 0.0
+        words: dict[str, float] = {}
+        sides: dict[str, float] = {}
+        for features, got in ((window, words), (ps, sides)):
+            for f in features:
+                x = self.weight(f) if got is words else min(map(self.weight, f))
+                pair_total += x if got is sides else 0.0
+                for label in {self.exemplars[n][0] for n in self.postings.get(f, ())}:
+                    got[label] = got.get(label, 0.0) + x
+        need = (SIDES if len(ps) >= FEW else 1.0) * pair_total * (1 - 1e-9)
+        return any(words.get(k, 0.0) >= CONTAINMENT * word_total and sides.get(k, 0.0) >= need for k in labels)
+
     def may_be(self, fs: list[str], labels: tuple[str, ...]) -> bool:
         """Whether the known words weigh enough: without that no windows can be contained and cover as much as is asked for."""
         known, get = self.known[labels], self.weights.get
@@ -236,7 +272,7 @@ class Index:
             total += sum(map(self.weight, fs))
             reach = 0
             for i, f in windows(fs):
-                if f and self.best(f, labels) >= CONTAINMENT:
+                if f and self.contained(f, labels):
                     weight += sum(map(self.weight, fs[max(i, reach) : i + len(f)]))
                     reach = i + len(f)
         return weight >= COVERAGE * total
@@ -266,9 +302,9 @@ class Index:
                 if "\u0192field" not in f:
                     continue
                 for n, x in self.containments(f).items():
-                    label, ws = self.exemplars[n]
+                    label, ws, _ = self.exemplars[n]
                     held = sum(self.weight(w) for w in ws & set(f)) / self.whole[n]
-                    if label == "form" and (x >= CONTAINMENT or x >= FILLED and held >= CONTAINMENT and len(ws) > 2) and x >= self.best(f, ("mention",)):
+                    if label == "form" and (x >= FORM or x >= FILLED and held >= FORM and len(ws) > 2) and x >= self.best(f, ("mention",)):
                         return True
         return False
 
