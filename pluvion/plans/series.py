@@ -218,21 +218,26 @@ def q_axis(spark: SparkSession, d: str) -> DataFrame:
     return r.select("run_id", calendar.origin(F.col("units")).alias("origin"), (calendar.unit_seconds(F.col("units")) * F.col("time_res_min")).alias("step_s"), last.alias("last_ts"))
 
 
-def q_losses(spark: SparkSession, d: str) -> DataFrame:
+def stored_tails(spark: SparkSession, d: str) -> DataFrame:
+    """The stored tail events with their temperature, repeated rows once. A run's tail events of one duration are bounded by its grid."""
+    t = table(spark, d, "tail_temp").where(valid("t_pre24") & (F.col("oe") > 0) & (F.col("oe") < float("inf")))
+    return t.select("run_id", "cell_id", "duration_h", "oe_i", F.col("oe").cast("double").alias("oe"), F.col("t_pre24").cast("double").alias("t_pre24")).distinct()
+
+
+def losses(p: DataFrame, keys: list[str], s: dict = config.DEFAULTS) -> DataFrame:
     """Every regression line held against lines a little above, below and turned either way: whether none of them has a lower check loss.
 
-    Only lines as exact as they were found can be held; intercepts and slopes are rounded in the table, so the lines are fitted again here.
+    Intercepts and slopes are rounded in the tables, so the lines are fitted again here.
     """
-    p = _pairs(spark, d)
-    lines = scaling.quantile_lines(p, KEY, "t_pre24", "oe", config.DEFAULTS["quantiles"], config.DEFAULTS["min_events_regression"])
-    turns = F.array(*[F.struct(F.lit(float(da)).alias("da"), F.lit(float(db)).alias("db")) for da in (-0.01, 0, 0.01) for db in (-0.001, 0, 0.001)])
-    rows = p.select(*KEY, F.col("t_pre24").alias("x"), F.log("oe").alias("z")).join(lines, KEY).withColumn("t", F.explode(turns))
+    lines = scaling.quantile_lines(p, keys, "t_pre24", "oe", s["quantiles"], s["min_events_regression"])
+    turns = F.array(*[F.struct(F.lit(float(da)).alias("da"), F.lit(float(db)).alias("db")) for da, db in ((0, 0), (-0.01, 0), (0.01, 0), (0, -0.001), (0, 0.001))])
+    rows = p.select(*keys, F.col("t_pre24").alias("x"), F.log("oe").alias("z")).join(lines, keys).withColumn("t", F.explode(turns))
     # turned about the middle of the covariate, so that small turns stay small
     r = F.col("z") - (F.col("a") + F.col("t.da")) - F.col("b") * F.col("x") - F.col("t.db") * (F.col("x") - F.col("mid"))
     loss = F.sum(F.when(r >= 0, F.col("q") * r).otherwise((F.col("q") - 1) * r))
-    at = rows.groupBy(*KEY, F.col("q").alias("quantile"), "t").agg(loss.alias("loss"), F.count("*").alias("n_events"))
+    at = rows.groupBy(*keys, F.col("q").alias("quantile"), "t").agg(loss.alias("loss"), F.count("*").alias("n_events"))
     here = F.max(F.when((F.col("t.da") == 0) & (F.col("t.db") == 0), F.col("loss")))
-    return at.groupBy(*KEY, "quantile").agg(F.max("n_events").alias("n_events"), (here <= F.min("loss") + 1e-9).alias("lowest"))
+    return at.groupBy(*keys, "quantile").agg(F.max("n_events").alias("n_events"), (here <= F.min("loss") + 1e-9).alias("lowest"))
 
 
 #: A box over part of the grid.
@@ -249,7 +254,9 @@ QUERIES = {
     "series_tail_events": lambda s, d: rounded(tail_events(_pairs(s, d)).select(*KEY, "oe_i", "oe", "t_pre24", "tail"), 9),
     "series_tail_means": lambda s, d: rounded(tail_means(_pairs(s, d)), 12),
     "series_scaling": lambda s, d: scaling_table(_pairs(s, d)),
-    "series_scaling_losses": q_losses,
+    "series_scaling_losses": lambda s, d: losses(_pairs(s, d), KEY),
+    "tail_scaling": lambda s, d: scaling_table(stored_tails(s, d), keys=["run_id", "duration_h"]),
+    "tail_scaling_losses": lambda s, d: losses(written(stored_tails(s, d), "stored-tails"), ["run_id", "duration_h"]),
     "series_metrics_ws1": lambda s, d: single_cell_metrics(_shared(s, d)).withColumn("oe", F.round(F.col("oe").cast("double"), 6)),
     "stored_levels": q_stored_levels,
     "stored_bootstrap": lambda s, d: bootstrapped(stored_events(s, d), table(s, d, "grid_cell")),
@@ -341,6 +348,9 @@ SQL = {
     + f") select {_K}, tail, round(avg(oe), 12) as mean_oe, round(avg(t_pre24), 12) as mean_t_pre24, count(*) as n_events from long_ group by all",
     "series_scaling_losses": f"""with {_PAIRS} select {_K}, unnest({_S['quantiles']})::double as quantile, n_events, true as lowest
       from (select {_K}, count(*) as n_events from pair group by all having count(*) >= {_S['min_events_regression']} and max(t_pre24) > min(t_pre24))""",
+    "tail_scaling_losses": f"""with t as (select distinct run_id, cell_id, duration_h, oe_i, oe, t_pre24 from tail_temp where t_pre24 is not null and not isnan(t_pre24) and oe > 0 and not isnan(oe) and not isinf(oe))
+      select run_id, duration_h, unnest({_S['quantiles']})::double as quantile, n_events, true as lowest
+      from (select run_id, duration_h, count(*) as n_events from t group by all having count(*) >= {_S['min_events_regression']} and max(t_pre24) > min(t_pre24))""",
     "series_metrics_ws1": f"""with {_EVENTS}, sorted as (select *, row_number() over (partition by {_K} order by total) as i, count(*) over (partition by {_K}) as n from event),
       higher as (select {_K}, """ + ", ".join(f"max(case when i = 1 + ((n - 1) * {p} + 99) // 100 then total end) as t{p}" for p in tails.PERCENTS) + f""" from sorted group by {_K})
       select {_K}, lat, lon, cast(case when total >= t99 then 99 when total >= t95 then 95 when total >= t90 then 90 else 85 end as tinyint) as pctl_class, oe_i, round(oe::float::double, 6) as oe,
